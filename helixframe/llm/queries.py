@@ -1,7 +1,13 @@
 """Queries of the training-data operators, with their SQL where there is one."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from helixframe.llm.canonical_dups import canonical_groups, record_key
 from helixframe.llm.near_dup import expand_pairs, near_duplicates
+from helixframe.llm.shared_spans import shared_spans
+from helixframe.llm.splitting import split_sequences
+from helixframe.llm.term_counts import marked_terms, term_counts
 from helixframe.session import table
 
 
@@ -10,5 +16,48 @@ def p2_found(spark, d):
     return expand_pairs(pairs, members).toDF("seq_id_a", "seq_id_b")
 
 
-QUERIES = {"p2_found": p2_found}
-ORACLE = {}
+def _dna(spark, d):
+    return table(spark, d, "fasta_seqs").where("seqtype = 'DNA'")
+
+
+def p3_found(spark, d):
+    return split_sequences(_dna(spark, d), "seq_id", "seq_data")
+
+
+def p4_found(spark, d):
+    return marked_terms(_dna(spark, d), "seq_data").where("mark is not null").select("word", "mark")
+
+
+def p4_counts(spark, d):
+    return term_counts(_dna(spark, d), "seq_data")
+
+
+def p5_found(spark, d):
+    return shared_spans(_dna(spark, d), "seq_id", "seq_data").withColumnRenamed("id", "seq_id")
+
+
+def _same_records(spark, d):
+    return canonical_groups(table(spark, d, "fasta_seqs"), "seq_id", record_key("desc_line", "seq_data"))
+
+
+def p6_found(spark, d):
+    return _same_records(spark, d).where("n_copies > 1 and id <> first_id").select("first_id", F.col("id").alias("copy_id"))
+
+
+def p6_counts(spark, d):
+    """One row for each record that is kept, with the number of its copies."""
+    return _same_records(spark, d).where("id = first_id").select("first_id", "n_copies")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_counts, p5_found, p6_found, p6_counts)}
+
+_WORDS = f"""with dna as (select seq_id, regexp_replace(translate(seq_data, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g') as s from fasta_seqs where seqtype = 'DNA'),
+pos as (select seq_id, s, unnest(range(1, length(s) - 6)) as i from dna where length(s) >= 8),
+words as (select seq_id, substr(s, i, 8) as word from pos where not regexp_matches(substr(s, i, 8), '[^ACGT]')),
+counts as (select word, count(*) as tf, count(distinct seq_id) as df from words group by word)"""
+
+ORACLE = {
+    "p4_found": _WORDS + """ select word, case when df < 3 then 'rare' else 'common' end as mark from counts
+        where df < 3 or df > 0.2 * (select count(*) from fasta_seqs where seqtype = 'DNA')""",
+    "p4_counts": _WORDS + " select word, tf, df from counts",
+}
