@@ -25,7 +25,6 @@ adapter does not bring all records that carry it to one anchor.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,7 +32,7 @@ from helixframe.llm.arrow import buffer_of, row_of
 
 PROBE = 16        # letters of a fingerprint window
 SKETCH = 32       # letters of a fingerprint
-HOT_SHARE = 0.01  # a window in more than this share of the records is hot
+HOT_SHARE = 2e-4  # a window in more than this share of the records is hot
 HOT_PART = 0.25   # records with a larger share of hot windows are replicated to hot anchors too
 _COUNTERS = 22    # bits of the counters that find hot windows
 
@@ -99,24 +98,22 @@ def distinct_by_row(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, n
 def _hot_counts(batches):
     counts, n = np.zeros(1 << _COUNTERS, np.int64), 0
     for b in batches:
-        rows, h = window_hashes(*text_bytes(b.column(0)), PROBE)
-        _, sym, _ = distinct_by_row(rows, h)
-        counts += np.bincount((sym & np.uint64((1 << _COUNTERS) - 1)).astype(np.int64), minlength=1 << _COUNTERS)
+        _, h = window_hashes(*text_bytes(b.column(0)), PROBE)
+        counts += np.bincount(((h >> np.uint64(20)) & np.uint64((1 << _COUNTERS) - 1)).astype(np.int64), minlength=1 << _COUNTERS)
         n += b.num_rows
     hot = np.flatnonzero(counts > max(HOT_SHARE * n, 8)) if n else np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_pydict({"counter": pa.array(np.append(hot, -1), pa.int64()), "n": pa.array(np.append(counts[hot], n), pa.int64())})
+    yield pa.RecordBatch.from_pydict({"counter": pa.array(hot, pa.int64()), "n": pa.array(counts[hot], pa.int64())})
 
 
 def hot_windows(seqs: DataFrame) -> np.ndarray:
-    """The counters of hot windows.
+    """The counters of hot windows (a window that one record repeats counts each time).
 
     Each task gives those above the share in its own part: a window above it
     overall is above it somewhere.  Of their sums, half the share of all records
     is kept, so the list has at most 2 * windows / HOT_SHARE entries.
     """
     found = seqs.mapInArrow(_hot_counts, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    total = F.broadcast(found.where("counter = -1").select(F.col("n").alias("total")))
-    kept = found.where("counter >= 0").join(total, F.col("n") > F.col("total") * (HOT_SHARE / 2)).select("counter")
+    kept = found.where(F.col("n") > seqs.count() * HOT_SHARE / 2).select("counter")
     return np.array(sorted(r[0] for r in kept.collect()), np.int64)
 
 
