@@ -3,8 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe.llm.bpe import encode_corpus
 from helixframe.llm.canonical_dups import canonical_groups, record_key
+from helixframe.llm.leakage import leaked_items
 from helixframe.llm.near_dup import expand_pairs, near_duplicates
+from helixframe.llm.page_spam import spam_profile
 from helixframe.llm.shared_spans import shared_spans
 from helixframe.llm.splitting import split_sequences
 from helixframe.llm.term_counts import marked_terms, term_counts
@@ -49,7 +52,27 @@ def p6_counts(spark, d):
     return _same_records(spark, d).where("id = first_id").select("first_id", "n_copies")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_counts, p5_found, p6_found, p6_counts)}
+def p7_ids(spark, d):
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _leaks(spark, d):
+    return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark, d):
+    return _leaks(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_containment(spark, d):
+    return _leaks(spark, d)
+
+
+def p9_found(spark, d):
+    return spam_profile(table(spark, d, "documents"), "doc_id", "text", "applicant").where("is_spam").select(F.col("doc").alias("doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_counts, p5_found, p6_found, p6_counts, p7_ids, p8_found, p8_containment, p9_found)}
 
 _WORDS = f"""with dna as (select seq_id, regexp_replace(translate(seq_data, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g') as s from fasta_seqs where seqtype = 'DNA'),
 pos as (select seq_id, s, unnest(range(1, length(s) - 6)) as i from dna where length(s) >= 8),
