@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("records",)
+MODULES = ("records", "letters")
 
 
 def collect() -> tuple[dict, dict]:
