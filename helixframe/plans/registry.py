@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("records", "letters")
+MODULES = ("records", "letters", "matching")
 
 
 def collect() -> tuple[dict, dict]:
