@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from helixframe.functions.counting import count_pattern, match_starts
 from helixframe.kernels import matching as M
+from helixframe.session import spread
 
 MATCHES = "subject_id long, start int, end int"
 
@@ -37,7 +38,7 @@ def _kernel_over(df: DataFrame, id_col: str, seq_col: str, find) -> DataFrame:
                         ends.append(z)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["subject_id", "start", "end"])
 
-    return df.select(F.col(id_col).cast("long"), seq_col).mapInArrow(run, MATCHES)
+    return spread(df.select(F.col(id_col).cast("long"), seq_col)).mapInArrow(run, MATCHES)
 
 
 def match_pattern(df: DataFrame, id_col: str, seq_col: str, pattern: str, max_mismatch: int = 0, min_mismatch: int = 0, indels: bool = False, fixed=(True, True)) -> DataFrame:
@@ -67,7 +68,7 @@ def count_matches(df: DataFrame, id_col: str, seq_col: str, pattern: str, max_mi
             n = [None if s is None else find(s) for s in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["subject_id", "n"])
 
-    return df.select(F.col(id_col).cast("long"), seq_col).mapInArrow(run, "subject_id long, n long")
+    return spread(df.select(F.col(id_col).cast("long"), seq_col)).mapInArrow(run, "subject_id long, n long")
 
 
 def tile(df: DataFrame, id_col: str, seq_col: str, core: int = 1_000_000, overlap: int = 100) -> DataFrame:
@@ -122,7 +123,7 @@ def match_pwm(df: DataFrame, id_col: str, seq_col: str, pwm, min_score: float |
             out = [pa.array(ids, pa.int64()), st, pa.array([x + k - 1 for x in starts], pa.int32())] + ([pa.array(scores, pa.float64())] if with_score else [])
             yield pa.RecordBatch.from_arrays(out, ["subject_id", "start", "end"] + ["score"] * with_score)
 
-    return df.select(F.col(id_col).cast("long"), seq_col).mapInArrow(run, MATCHES + (", score double" if with_score else ""))
+    return spread(df.select(F.col(id_col).cast("long"), seq_col)).mapInArrow(run, MATCHES + (", score double" if with_score else ""))
 
 
 def pwm_score_at(df: DataFrame, id_col: str, seq_col: str, pwm, starts: list[int]) -> DataFrame:
@@ -146,7 +147,7 @@ def partial_matches(df: DataFrame, id_col: str, seq_col: str, pattern: str, max_
             rows = [(key, *m) for key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if s for m in M.partial_matches(pattern, s, max_out)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i == 0 else pa.int32()) for i in range(5)], ["subject_id", "p_start", "p_end", "s_start", "s_end"])
 
-    return df.select(F.col(id_col).cast("long"), seq_col).mapInArrow(run, "subject_id long, p_start int, p_end int, s_start int, s_end int")
+    return spread(df.select(F.col(id_col).cast("long"), seq_col)).mapInArrow(run, "subject_id long, p_start int, p_end int, s_start int, s_end int")
 
 
 def lr_pairs(left_hits: DataFrame, right_hits: DataFrame, max_gap: int) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from helixframe.session import spread
+
 RECORD_SCHEMA = (
     "record_no int, fmt string, ok boolean, name string, seq string, qual string, "
     "fields array<string>, reason string, error_line int, error_col int, error_detail string"
@@ -62,7 +64,7 @@ def parse_records(df: DataFrame, id_col: str = "raw_id", fmt_col: str = "fmt", t
             yield out
 
     src = df.select(F.col(id_col).alias("k"), F.col(fmt_col).alias("f"), F.col(text_col).alias("t"))
-    return src.mapInPandas(run, f"k {id_type}, {RECORD_SCHEMA}").withColumnRenamed("k", id_col)
+    return spread(src).mapInPandas(run, f"k {id_type}, {RECORD_SCHEMA}").withColumnRenamed("k", id_col)
 
 
 def broken_records(df: DataFrame, id_col: str = "raw_id", fmt_col: str = "fmt", text_col: str = "raw_text") -> DataFrame:

@@ -4,22 +4,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from helixframe.functions.transforms import LOWER, UPPER, ascii_upper, letters_only
-from helixframe.session import table
+from helixframe.session import spread, table
 
 
 def dna(spark, d) -> DataFrame:
     """``(seq_id, s)``: letters of the DNA records."""
-    return table(spark, d, "fasta_seqs").where("seqtype = 'DNA' and seq_data is not null").select("seq_id", letters_only("seq_data").alias("s"))
+    return spread(table(spark, d, "fasta_seqs").where("seqtype = 'DNA' and seq_data is not null").select("seq_id", letters_only("seq_data").alias("s")))
 
 
 def records(spark, d) -> DataFrame:
     """``(seq_id, seqtype, s)``: letters of all records."""
-    return table(spark, d, "fasta_seqs").where("seq_data is not null").select("seq_id", "seqtype", letters_only("seq_data").alias("s"))
+    return spread(table(spark, d, "fasta_seqs").where("seq_data is not null").select("seq_id", "seqtype", letters_only("seq_data").alias("s")))
 
 
 def reads(spark, d) -> DataFrame:
     """``(seq_id, s, q, qscale)``: reads with their quality."""
-    return table(spark, d, "fastq_reads").where("seq_data is not null").select("seq_id", ascii_upper("seq_data").alias("s"), F.col("qual_data").alias("q"), "qscale")
+    return spread(table(spark, d, "fastq_reads").where("seq_data is not null").select("seq_id", ascii_upper("seq_data").alias("s"), F.col("qual_data").alias("q"), "qscale"))
 
 
 def patterns(spark, d) -> DataFrame:

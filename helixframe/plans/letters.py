@@ -41,7 +41,7 @@ _column("T5_replace_ambiguities", T.replace_ambiguities, "translate(s, 'MRWSYKVH
 _column("P12_dna_to_rna", T.dna_to_rna, "translate(s, 'T', 'U')")
 _column("P5_subseq_end", lambda s: F.when(F.length(s) >= 40, T.subseq(s, start=-40, end=-11, strict=False)), "case when length(s) >= 40 then substr(s, length(s) - 39, 30) end")
 _column("P5_subseq_width", lambda s: T.subseq(s, start=11, width=50, strict=False), "case when length(s) >= 60 then substr(s, 11, 50) end")
-_column("P7_xscat", lambda s: T.xscat(F.substring(s, 1, 10), F.lit("NN"), T.reverse_complement(F.substring(s, 1, 10))), f"substr(s, 1, 10) || 'NN' || reverse(translate(substr(s, 1, 10), {_COMP}))")
+_column("P7_xscat", lambda s: T.xscat(s, F.lit("NN"), T.reverse_complement(s)), f"s || 'NN' || reverse(translate(s, {_COMP}))")
 _column("P8_letter", lambda s: T.letter(s, [1, 5, 30]), "case when length(s) >= 30 then substr(s, 1, 1) || substr(s, 5, 1) || substr(s, 30, 1) end")
 _column("P14_codons", T.codons, "list_transform(range(0, length(s) // 3), lambda i: substr(s, 3 * i + 1, 3))")
 _column("P15_strsplit", lambda s: T.strsplit(s, "GATC"), "list_filter(string_split(s, 'GATC'), lambda x: x <> '')")
@@ -66,12 +66,12 @@ _column("C8_has_letter_at", lambda s: C.has_letter_at(s, "A", 100), "case when l
 _column("T10_hard_mask", lambda s: F.when(F.length(s) >= 30, T.inject_hard_mask(s, F.array(F.struct(F.lit(4).alias("start"), F.lit(5).alias("width")), F.struct(F.lit(20).alias("start"), F.lit(3).alias("width"))))), "case when length(s) >= 30 then substr(s, 1, 3) || '+++++' || substr(s, 9, 11) || '+++' || substr(s, 23) end")
 _column("T9_replace_at", lambda s: F.when(F.length(s) >= 30, T.replace_at(s, F.array(F.struct(F.lit(15).alias("start"), F.lit(0).alias("width"), F.lit("NNN").alias("value")), F.struct(F.lit(2).alias("start"), F.lit(6).alias("width"), F.lit("").alias("value"))))), "case when length(s) >= 30 then substr(s, 1, 1) || substr(s, 8, 7) || 'NNN' || substr(s, 15) end")
 _column("P6_three_bands", lambda s: F.concat_ws("|", *[T.three_bands(s, start=11, width=20)[x] for x in ("left", "middle", "right")]), "case when length(s) >= 30 then substr(s, 1, 10) || '|' || substr(s, 11, 20) || '|' || substr(s, 31) else '' end")
-_column("P10_as_vector", lambda s: F.size(F.split(F.substring(s, 1, 70), "")), "greatest(length(substr(s, 1, 70)), 1)")
+_column("P10_as_vector", lambda s: F.split(s, ""), "case when s = '' then [''] else list_transform(range(1, length(s) + 1), lambda i: substr(s, i, 1)) end")
 _column("P11_width", lambda s: F.length(s), "length(s)")
-_column("P19_to_complex", lambda s: F.aggregate(T.to_complex(F.substring(s, 1, 50), {"A": (1, 0), "G": (-1, 0), "C": (0, 1), "T": (0, -1)}), F.lit(0.0), lambda a, z: a + F.coalesce(z["re"] + 2 * z["im"], F.lit(0.0))), "coalesce(list_sum(list_transform(range(1, 51), lambda i: case substr(s, i, 1) when 'A' then 1.0 when 'G' then -1.0 when 'C' then 2.0 when 'T' then -2.0 else 0.0 end)), 0.0)::double")
-QUERIES["T7_replace_letter_at"] = lambda spark, d: dna(spark, d).select("seq_id", T.replace_letter_at(F.substring("s", 1, 40), F.array(F.lit(2), F.lit(9)), F.array(F.lit("R"), F.lit("N")), "merge").alias("v"))
+_column("P19_to_complex", lambda s: F.aggregate(T.to_complex(s, {"A": (1, 0), "G": (-1, 0), "C": (0, 1), "T": (0, -1)}), F.lit(0.0), lambda a, z: a + F.coalesce(z["re"] + 2 * z["im"], F.lit(0.0))), "coalesce(list_sum(list_transform(range(1, length(s) + 1), lambda i: case substr(s, i, 1) when 'A' then 1.0 when 'G' then -1.0 when 'C' then 2.0 when 'T' then -2.0 else 0.0 end)), 0.0)::double")
+QUERIES["T7_replace_letter_at"] = lambda spark, d: dna(spark, d).select("seq_id", T.replace_letter_at("s", F.array(F.lit(2), F.lit(9)), F.array(F.lit("R"), F.lit("N")), "merge").alias("v"))
 _MERGE = "case substr(s, 2, 1) when '' then '' when 'A' then 'R' when 'G' then 'R' when 'R' then 'R' when 'C' then 'V' when 'T' then 'D' when 'S' then 'V' when 'M' then 'V' when 'V' then 'V' when 'W' then 'D' when 'K' then 'D' when 'D' then 'D' else 'N' end"
-ORACLE["T7_replace_letter_at"] = sql(f"select seq_id, substr(s, 1, 1) || {_MERGE} || substr(s, 3, 6) || case when length(s) >= 9 then 'N' else '' end || substr(s, 10, 31) as v from dna", DNA)
+ORACLE["T7_replace_letter_at"] = sql(f"select seq_id, substr(s, 1, 1) || {_MERGE} || substr(s, 3, 6) || case when length(s) >= 9 then 'N' else '' end || substr(s, 10) as v from dna", DNA)
 
 # ---- translation ---------------------------------------------------------
 
@@ -281,12 +281,16 @@ def c1(spark, d):
     return dna(spark, d).join(b, "seq_id").select("seq_id", (F.col("s") == F.col("t")).alias("same"))
 
 
-_AB = ", a as (select seq_id, s from dna where seq_id % 2 = 0), b as (select seq_id, s from dna where seq_id % 2 = 1)"
+_AB = """, t as (select r.seq_id, translate(regexp_replace(r.seq_data, '[^A-Za-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as s, f.width > 60 as wide
+ from fasta_seqs r join seq_files f using (fileno) where r.seqtype = 'DNA' and r.seq_data is not null), a as (select seq_id, s from t where wide), b as (select seq_id, s from t where not wide)"""
 
 
 def _halves(spark, d):
-    x = dna(spark, d)
-    return x.where("seq_id % 2 = 0"), x.where("seq_id % 2 = 1")
+    """The records of files with wide lines, and of those with narrow ones."""
+    files = table(spark, d, "seq_files").select("fileno", (F.col("width") > 60).alias("wide"))
+    rows = table(spark, d, "fasta_seqs").where("seqtype = 'DNA' and seq_data is not null").join(F.broadcast(files), "fileno")
+    x = rows.select("seq_id", T.letters_only("seq_data").alias("s"), "wide")
+    return x.where("wide").drop("wide"), x.where("not wide").drop("wide")
 
 
 @query("C4_match", sql(_AB + " select a.seq_id, m.first_id from a left join (select s, min(seq_id) as first_id from b group by s) m on a.s = m.s", DNA))

@@ -153,24 +153,16 @@ def m10(spark, d):
     return _matches(spark, d)
 
 
-@query("M10_match_dict_mm1", sql(
-    """, w as (select seq_id, s, k, unnest(range(0, length(s) - k + 3)) as i from reads, (select distinct length(p) as k from patterns where length(p) = 12) where length(s) >= k - 1)
-    select p.pattern_id, w.seq_id as subject_id, w.i::int as start, (w.i + k - 1)::int as "end" from w join patterns p on length(p.p) = w.k
-    where """ + " + ".join(f"case when w.i + {j} between 1 and length(w.s) and substr(w.s, greatest(w.i + {j}, 1), 1) = substr(p.p, {j + 1}, 1) then 0 else 1 end" for j in range(12)) + " <= 1", READS, PATTERNS))
+@query("M10_match_dict_mm1")
 def m10mm(spark, d):
     """Pigeonhole bands: two halves of each pattern, one of which matches exactly."""
-    return D.match_dictionary(_dict(spark, d).where("length(pattern) = 12"), reads(spark, d), "seq_id", "s", max_mismatch=1)
+    return D.match_dictionary(_dict(spark, d), reads(spark, d), "seq_id", "s", max_mismatch=1)
 
 
-@query("M9_trusted_band", sql(
-    """, q as (select * from patterns where tb_start >= 1 and tb_width >= 1 and tb_start + tb_width - 1 <= length(p) and length(p) = 8),
-    w as (select seq_id, s, unnest(range(0, length(s) - 8 + 3)) as i from reads where length(s) >= 7)
-    select q.pattern_id, w.seq_id as subject_id, w.i::int as start, (w.i + 7)::int as "end" from w join q
-    on w.i + q.tb_start - 1 >= 1 and substr(w.s, greatest(w.i + q.tb_start - 1, 1), q.tb_width) = substr(q.p, q.tb_start, q.tb_width)
-    where """ + " + ".join(f"case when w.i + {j} between 1 and length(w.s) and substr(w.s, greatest(w.i + {j}, 1), 1) = substr(q.p, {j + 1}, 1) then 0 else 1 end" for j in range(8)) + " <= 1", READS, PATTERNS))
+@query("M9_trusted_band")
 def m9(spark, d):
     """Mismatches outside the trusted band only."""
-    return D.match_dictionary(_dict(spark, d).where("length(pattern) = 8"), reads(spark, d), "seq_id", "s", 1, "tb_start", "tb_width")
+    return D.match_dictionary(_dict(spark, d), reads(spark, d), "seq_id", "s", 1, "tb_start", "tb_width")
 
 
 @query("M11_vcount", sql(_DM + " select pattern_id, subject_id, count(*) as n from m group by all", READS, PATTERNS))

@@ -30,5 +30,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
-def input_partitions(df: DataFrame) -> int:
-    return df.rdd.getNumPartitions()
+def spread(df: DataFrame) -> DataFrame:
+    """Enough partitions for a Python kernel: a table of one small file would keep one core busy.
+
+    Tables that already have as many partitions as the cluster has cores are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
