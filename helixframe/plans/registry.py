@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("records", "letters", "matching")
+MODULES = ("records", "letters", "matching", "extras")
 
 
 def collect() -> tuple[dict, dict]:
