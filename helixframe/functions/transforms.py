@@ -212,10 +212,17 @@ def translate_codons(c, code: str = "1", no_init_codon: bool = False, if_fuzzy:
     ``if_fuzzy``: error, solve, error.if.X or X.  A codon without reading raises an error.
     """
     table, starts = A.genetic_code(code)
-    full = {k: v for k, v in A.fuzzy_code(table, if_fuzzy).items() if v is not None}
-    mapping = F.create_map(*[F.lit(x) for kv in full.items() for x in kv])
+    full = A.fuzzy_code(table, if_fuzzy)
+    order = A.LETTERS_BY_CODE  # an array by place, so a codon costs no search
+    amino_acids = F.split(F.lit("".join(full[x + y + z] or "?" for x in order for y in order for z in order)), "")  # folded to a literal
     parts = codons(F.translate(rna_to_dna(c), "+", ""))
-    amino = lambda x: F.coalesce(F.element_at(mapping, x), F.raise_error(F.concat(F.lit("no amino acid for codon "), x)))
+    place = lambda x, i: F.instr(F.lit(order), F.substring(x, i, 1))
+
+    def amino(x):
+        a, b, c3 = place(x, 1), place(x, 2), place(x, 3)
+        found = F.when((a > 0) & (b > 0) & (c3 > 0), F.get(amino_acids, (a - 1) * 225 + (b - 1) * 15 + c3 - 1))
+        return F.coalesce(F.nullif(found, F.lit("?")), F.raise_error(F.concat(F.lit("no amino acid for codon "), x)))
+
     if no_init_codon or not starts:
         return F.array_join(F.transform(parts, lambda x: amino(x)), "")
     first = lambda x, i: F.when((i == 0) & x.isin(starts), F.lit("M")).otherwise(amino(x))

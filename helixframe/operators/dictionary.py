@@ -3,17 +3,19 @@
 A dictionary row has a *trusted band*, which must match exactly; the mismatches
 allowed go to the flanks.  With ``max_mismatch = k`` and no given band, each
 pattern is cut into k + 1 bands, one of which must match exactly if at most k
-letters differ.  Subjects are expanded to windows of the bands' widths and joined on the window's letters;
-the rest of the pattern is compared at the place found.
+letters differ.  The windows of the subjects are looked up among the bands, and the rest of the
+pattern is compared at the place found.
 
-The dictionary is broadcast while it has at most ``BROADCAST_ROWS`` bands; a larger one goes
-through a shuffled join on the band's letters.
+While a dictionary has at most ``BROADCAST_ROWS`` bands (some tens of MB) of up to 31 bases, its index is broadcast to an Arrow kernel:
+no shuffle and no row for each window.  A larger one goes through a shuffled join of exploded windows on the band's letters.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from helixframe.functions.counting import n_mismatch_at
+from helixframe.kernels.seeds import MAX_SEED, SeedIndex, search
+from helixframe.session import spread
 
 BROADCAST_ROWS = 200_000
 
@@ -53,17 +55,26 @@ def match_dictionary(dictionary: DataFrame, subjects: DataFrame, id_col: str, se
     """
     spark = subjects.sparkSession
     d = bands(dictionary.where("pattern is not null and pattern <> ''"), max_mismatch, tb_start, tb_width)
+    listed = d.where((F.length("band") <= MAX_SEED) & (F.translate("band", "ACGT", "") == "")).limit(BROADCAST_ROWS + 1).collect()
+    if len(listed) <= BROADCAST_ROWS and len(listed) == d.count():
+        index = spark.sparkContext.broadcast(SeedIndex([(r["pattern_id"], r["pattern"], r["at"], r["band"]) for r in listed]))
+        rows = subjects.where(F.col(seq_col).isNotNull()).select(F.col(id_col).cast("long").alias("subject_id"), F.col(seq_col).alias("s"))
+        return spread(rows).mapInArrow(search(index, max_mismatch), "pattern_id long, subject_id long, start int, end int")
+    return _join_windows(d, subjects, id_col, seq_col, max_mismatch)
+
+
+def _join_windows(d: DataFrame, subjects: DataFrame, id_col: str, seq_col: str, max_mismatch: int) -> DataFrame:
+    """The way for dictionaries that aren't broadcast."""
+    spark = subjects.sparkSession
     widths = sorted(r[0] for r in d.select(F.length("band").alias("w")).distinct().collect())
-    n_bands = d.count()
     s = F.col(seq_col)
-    side = F.broadcast(d) if n_bands <= BROADCAST_ROWS else d
     base = subjects.where(s.isNotNull()).select(F.col(id_col).cast("long").alias("subject_id"), s.alias("s"))
     if not widths:
         return spark.createDataFrame([], "pattern_id long, subject_id long, start int, end int")
     found = None
     for w in widths:
         windows = base.where(F.length("s") >= w).select("subject_id", "s", F.explode(F.sequence(F.lit(1), F.length("s") - w + 1)).alias("pos"))
-        hits = windows.withColumn("band", F.col("s").substr(F.col("pos"), F.lit(w))).join(side.where(F.length("band") == w), "band")
+        hits = windows.withColumn("band", F.col("s").substr(F.col("pos"), F.lit(w))).join(d.where(F.length("band") == w), "band")
         start = F.col("pos") - F.col("at") + 1
         hits = hits.withColumn("start", start)
         if max_mismatch == 0:
@@ -72,8 +83,7 @@ def match_dictionary(dictionary: DataFrame, subjects: DataFrame, id_col: str, se
             hits = hits.where(n_mismatch_at(F.col("pattern"), "s", F.col("start")) <= max_mismatch)
         hits = hits.select("pattern_id", "subject_id", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("pattern") - 1).cast("int").alias("end"))
         found = hits if found is None else found.unionByName(hits)
-    # one place may be found through several bands
-    return found.distinct() if max_mismatch and tb_start is None else found
+    return found.distinct() if max_mismatch else found  # a place may be found through several bands
 
 
 def count_dictionary(matches: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """k-mer counts, transitions and tables by place."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from helixframe.alphabets import DNA_ALPHABET, DNA_BASES
 from helixframe.functions.transforms import all_words
+from helixframe.kernels.arrow import pieces, row_of, window_codes
 
 
 def kmers(df: DataFrame, id_col: str, seq_col: str, k: int, step: int = 1, bases: str = DNA_BASES) -> DataFrame:
@@ -20,18 +23,67 @@ def kmers(df: DataFrame, id_col: str, seq_col: str, k: int, step: int = 1, bases
     return df.where(F.length(s) >= k).select(F.col(id_col), F.explode(words).alias("kmer"))
 
 
+def _counts(k: int, step: int, by_row: bool):
+    """k-mer counts of each batch, by row or over the whole task (up to k = 10 in one array that is sent once)."""
+    def run(batches):
+        whole = np.zeros(4 ** k, np.int64) if k <= 10 and not by_row else None
+        for b in batches:
+            for first, data, offsets in pieces(b.column(b.num_columns - 1)):
+                rows, at, code = window_codes(data, offsets, k)
+                if step > 1:
+                    on = (at - offsets[rows]) % step == 0
+                    rows, code = rows[on], code[on]
+                if whole is not None:
+                    whole += np.bincount(code, minlength=4 ** k)
+                    continue
+                if by_row:
+                    order = np.lexsort((code, rows))
+                    rows, code = rows[order], code[order]
+                    new = np.ones(len(code), bool)
+                    new[1:] = (code[1:] != code[:-1]) | (rows[1:] != rows[:-1])
+                    cut = np.flatnonzero(new)
+                    n = np.diff(np.append(cut, len(code)))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[cut] + first)), pa.array(code[cut]), pa.array(n)], ["id", "code", "n"])
+                else:
+                    codes, n = np.unique(code, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
+        if whole is not None:
+            codes = np.flatnonzero(whole)
+            yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(whole[codes])], ["code", "n"])
+
+    return run
+
+
+def _word(k: int):
+    """The word of a code, as a Column."""
+    letters = [F.substring(F.lit("ACGT"), (F.shiftright("code", 2 * (k - 1 - i)).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) for i in range(k)]
+    return F.concat(*letters)
+
+
 def oligo_frequency(df: DataFrame, id_col: str, seq_col: str, k: int, step: int = 1, zeros: bool = False) -> DataFrame:
-    """``(id, kmer, n)``; with ``zeros`` a row for every k-mer and sequence."""
-    counts = kmers(df, id_col, seq_col, k, step).groupBy(id_col, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    """``(id, kmer, n)``, counted where the sequence is; no shuffle.  With ``zeros`` a row for every k-mer and sequence.
+
+    Rows with the same id count one by one.  Null and short sequences give no row (zeros with ``zeros``).
+    """
+    if not 1 <= k <= 15 or step < 1:
+        raise ValueError("k must be 1 to 15, step at least 1")
+    id_type = df.schema[id_col].dataType.simpleString()
+    counts = df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("s")).mapInArrow(_counts(k, step, True), f"id {id_type}, code long, n long")
+    counts = counts.select(F.col("id").alias(id_col), _word(k).alias("kmer"), "n")
     if not zeros:
         return counts
     cells = df.select(id_col).crossJoin(F.broadcast(all_words(df.sparkSession, DNA_BASES, k).select(F.col("word").alias("kmer"))))
     return cells.join(counts, [id_col, "kmer"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def oligo_frequency_collapsed(df: DataFrame, id_col: str, seq_col: str, k: int, step: int = 1) -> DataFrame:
-    """``(kmer, n)`` over all sequences, zeros included; the counts are combined before the shuffle."""
-    counts = kmers(df, id_col, seq_col, k, step).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+def oligo_frequency_collapsed(df: DataFrame, id_col: str, seq_col: str, k: int, step: int = 1, zeros: bool = True) -> DataFrame:
+    """``(kmer, n)`` over all sequences; each task sends one row for a k-mer."""
+    if not 1 <= k <= 15 or step < 1:
+        raise ValueError("k must be 1 to 15, step at least 1")
+    counts = df.select(F.col(seq_col).alias("s")).mapInArrow(_counts(k, step, False), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = counts.select(_word(k).alias("kmer"), "n")
+    if not zeros:
+        return counts
     words = all_words(df.sparkSession, DNA_BASES, k).select(F.col("word").alias("kmer"))
     return words.join(counts, "kmer", "left").select("kmer", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -102,14 +154,28 @@ def two_way_frequency(df: DataFrame, a_col: str, b_col: str) -> DataFrame:
 def sliding_letter_frequency(df: DataFrame, id_col: str, seq_col: str, view_width: int, letters: str) -> DataFrame:
     """``(id, start, n)``: letters among the given ones in every window of the given width.
 
-    Each sequence is expanded where it is; no shuffle.
+    Differences of running counts over the Arrow buffer; no shuffle.
     """
-    s = F.col(seq_col)
-    counts = F.transform(
-        F.sequence(F.lit(1), F.length(s) - view_width + 1),
-        lambda i: F.struct(i.alias("start"), (F.lit(view_width) - F.length(F.translate(s.substr(i, F.lit(view_width)), letters, ""))).alias("n")),
-    )
-    return df.where(F.length(s) >= view_width).select(F.col(id_col), F.inline(counts))
+    table = np.zeros(256, np.int64)
+    table[np.frombuffer(letters.encode(), np.uint8)] = 1
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            for first, data, offsets in pieces(b.column(1)):
+                n = len(data) - view_width + 1
+                if n <= 0:
+                    continue
+                sums = np.concatenate([[0], np.cumsum(table[data])])
+                rows = row_of(offsets)[:n]
+                at = np.flatnonzero(np.arange(n) + view_width <= offsets[1:][rows])
+                rows = rows[at]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(rows + first)), pa.array((at - offsets[rows] + 1).astype(np.int32)), pa.array((sums[at + view_width] - sums[at]).astype(np.int32))], ["id", "start", "n"]
+                )
+
+    src = df.where(F.length(seq_col) >= view_width).select(F.col(id_col).alias("id"), F.col(seq_col).alias("s"))
+    return src.mapInArrow(run, f"id {id_type}, start int, n int").withColumnRenamed("id", id_col)
 
 
 def n50(df: DataFrame, size_col: str) -> DataFrame:

@@ -178,7 +178,7 @@ def a4(spark, d):
 
 @query("A4_oligo3_step3", sql(_kmer_sql(3, 3) + " select kmer, count(*) as n from k group by all", DNA))
 def a4s(spark, d):
-    return K.kmers(dna(spark, d), "seq_id", "s", 3, step=3).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return K.oligo_frequency_collapsed(dna(spark, d), "seq_id", "s", 3, step=3, zeros=False)
 
 
 _BASES3 = "(select a || b || c as kmer from (select unnest(['A','C','G','T']) as a), (select unnest(['A','C','G','T']) as b), (select unnest(['A','C','G','T']) as c)) words"
