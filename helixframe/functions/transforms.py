@@ -12,6 +12,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inside a lambda an outer expression is evaluated for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ascii_upper(c) -> Column:
     """Upper case of ASCII letters only; ``upper`` may turn other characters into letters."""
     return F.translate(col(c), LOWER, UPPER)
@@ -215,7 +220,6 @@ def translate_codons(c, code: str = "1", no_init_codon: bool = False, if_fuzzy:
     full = A.fuzzy_code(table, if_fuzzy)
     order = A.LETTERS_BY_CODE  # an array by place, so a codon costs no search
     amino_acids = F.split(F.lit("".join(full[x + y + z] or "?" for x in order for y in order for z in order)), "")  # folded to a literal
-    parts = codons(F.translate(rna_to_dna(c), "+", ""))
     place = lambda x, i: F.instr(F.lit(order), F.substring(x, i, 1))
 
     def amino(x):
@@ -223,10 +227,11 @@ def translate_codons(c, code: str = "1", no_init_codon: bool = False, if_fuzzy:
         found = F.when((a > 0) & (b > 0) & (c3 > 0), F.get(amino_acids, (a - 1) * 225 + (b - 1) * 15 + c3 - 1))
         return F.coalesce(F.nullif(found, F.lit("?")), F.raise_error(F.concat(F.lit("no amino acid for codon "), x)))
 
-    if no_init_codon or not starts:
-        return F.array_join(F.transform(parts, lambda x: amino(x)), "")
-    first = lambda x, i: F.when((i == 0) & x.isin(starts), F.lit("M")).otherwise(amino(x))
-    return F.array_join(F.transform(parts, first), "")
+    def first(x, i):
+        return F.when((i == 0) & x.isin(starts), F.lit("M")).otherwise(amino(x))
+
+    step = (lambda x: amino(x)) if no_init_codon or not starts else first
+    return let(F.translate(rna_to_dna(c), "+", ""), lambda s: F.array_join(F.transform(codons(s), step), ""))
 
 
 def strsplit(c, pattern: str) -> Column:
