@@ -275,7 +275,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     entries = reps.mapInArrow(_anchors(8 * n_parts, max(least - (PROBE - window), 1), hot, sketch), "bucket int, entries binary")
     met = entries.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long").distinct()
     texts_a, texts_b = (by_id.select(F.col("id").alias(k), F.col("seq").alias(f"seq_{k}")) for k in "ab")
-    pairs = met.join(texts_a, "a").join(texts_b, "b").select("a", "b", "seq_a", "seq_b").mapInArrow(_verify(window, threshold, least), "a long, b long, similarity double")
+    pairs = met.join(texts_a, "a").join(texts_b, "b").select("a", "b", "seq_a", "seq_b").mapInArrow(_verify(window, threshold, least), "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
     rich = members.where("id = rep").select("rep").join(by_id.withColumnRenamed("id", "rep"), "rep").select("rep", "seq").mapInArrow(_rich(window, least), "rep long")
     return pairs, members.join(rich, "rep")
@@ -286,7 +286,7 @@ def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     ends = pairs.select("a", "b")
     for end in "ab":
         m = members.select(F.col("rep").alias(end), F.col("id").alias("row"))
-        ends = ends.join(m, end, "left").withColumn(end, F.coalesce("row", end)).drop("row")
+        ends = ends.join(m.distinct(), end, "left").withColumn(end, F.coalesce("row", end)).drop("row")
     left, right = (members.select("rep", F.col("id").alias(k)) for k in "ab")
     same = left.join(right, "rep").where("a < b").select("a", "b")
-    return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same)
+    return ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same.distinct())
