@@ -6,13 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from helixframe.functions.transforms import letters_only
+from helixframe.functions.transforms import letters_only, reverse_complement, strsplit, three_bands
 from helixframe.operators import alignment as AL
 from helixframe.operators.independence import dinucleotide_test
-from helixframe.plans.base import DNA, READS, dna, reads, sql
+from helixframe.plans.base import DNA, PATTERNS, READS, dna, patterns, reads, sql
 from helixframe.session import ensure_checkpoint_dir, table
 from helixframe.sources import fasta, fastq
 from helixframe.streaming.drops import windowed_composition
+from helixframe.udf import register
 
 QUERIES, ORACLE = {}, {}
 
@@ -55,6 +56,78 @@ def s7(spark, d):
     return back.groupBy(F.length("seq").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).alias("letters"), F.min("seq").alias("first_read"), F.max("qual").alias("last_quality"))
 
 
+@query("S13_saved_parquet", sql("select seq_id, s from dna", DNA))
+def s13(spark, d):
+    """Saved as Parquet and read again."""
+    path = _folder(spark)
+    fastq.save_sequences(dna(spark, d), path)
+    return spark.read.parquet(path)
+
+
+@query("S9_quality_scaled_reverse", sql("select seq_id, reverse(translate(s, 'ACGTMRWSYKVHDBN', 'TGCAKYWSRMBDHVN')) as s, reverse(q) as q from reads where q is not null and length(q) = length(s)", READS))
+def s9(spark, d):
+    """Reverse complement of reads with their qualities."""
+    r = reads(spark, d).where("q is not null and length(q) = length(s)")
+    return r.select("seq_id", reverse_complement("s").alias("s"), F.reverse("q").alias("q"))
+
+
+@query("S9_quality_trim", sql("select seq_id, substr(s, 1, greatest(n - 10, 0)) as s, substr(q, 1, greatest(n - 10, 0)) as q from (select *, length(s) as n from reads where q is not null and length(q) = length(s))", READS))
+def s9t(spark, d):
+    """Sequence and quality narrowed together: the last ten letters cut off."""
+    r = reads(spark, d).where("q is not null and length(q) = length(s)")
+    n = F.greatest(F.length("s") - 10, F.lit(0))
+    return r.select("seq_id", F.col("s").substr(F.lit(1), n).alias("s"), F.col("q").substr(F.lit(1), n).alias("q"))
+
+
+@query("P21_dictionary_bands", sql("select pattern_id, substr(p, 1, tb_start - 1) as head, substr(p, tb_start, tb_width) as band, substr(p, tb_start + tb_width) as tail from patterns where tb_start >= 1 and tb_width >= 1 and tb_start + tb_width - 1 <= length(p)", PATTERNS))
+def p21(spark, d):
+    t = patterns(spark, d).where("tb_start >= 1 and tb_width >= 1 and tb_start + tb_width - 1 <= length(p)")
+    b = three_bands("p", start=F.col("tb_start"), width=F.col("tb_width"))
+    return t.select("pattern_id", b["left"].alias("head"), b["middle"].alias("band"), b["right"].alias("tail"))
+
+
+@query("P3_list_elements", sql(", p as (select seq_id, list_filter(string_split(s, 'GATC'), lambda x: x <> '') as l from dna), e as (select seq_id, unnest(l) as piece, unnest(range(1, len(l) + 1))::int as pos from p) select * from e", DNA))
+def p3l(spark, d):
+    """Lists of sequences in the long form: one row for an element, with its place."""
+    lists = dna(spark, d).select("seq_id", F.posexplode(strsplit("s", "GATC")).alias("pos", "piece"))
+    return lists.select("seq_id", (F.col("pos") + 1).alias("pos"), "piece")
+
+
+@query("P24_rep", sql(", r as (select seq_id, s, unnest(range(1, 4))::int as copy from dna) select * from r", DNA))
+def p24(spark, d):
+    """Each sequence three times."""
+    return dna(spark, d).select("seq_id", "s", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("copy"))
+
+
+@query("C10_longest", sql("select seq_id, length(s) as n from dna order by n desc, seq_id limit 25", DNA))
+def c10(spark, d):
+    """The 25 longest sequences, a top-k report."""
+    return dna(spark, d).select("seq_id", F.length("s").alias("n")).orderBy(F.desc("n"), "seq_id").limit(25)
+
+
+@query("C6_no_null_sequences", sql("select seq_id, s is null as missing from dna", DNA))
+def c6(spark, d):
+    return dna(spark, d).select("seq_id", F.col("s").isNull().alias("missing"))
+
+
+@query("A11_two_way_by_quality", sql(", c as (select s, reverse(translate(s, 'ACGT', 'TGCA')) as t, q, reverse(q) as r, unnest(range(1, length(s) + 1)) as i from reads where qscale = 'phred' and length(q) = length(s)) select substr(s, i, 1) as x, substr(t, i, 1) as y, least(ascii(substr(q, i, 1)), ascii(substr(r, i, 1))) - 33 as quality, count(*) as n from c group by all", READS))
+def a11(spark, d):
+    """Pairs of letters at a place of a read and its reverse complement, by the smaller of their qualities."""
+    r = reads(spark, d).where("qscale = 'phred' and length(q) = length(s)")
+    chars = lambda c: F.split(c, "")
+    z = F.arrays_zip(chars(F.col("s")).alias("x"), chars(F.reverse(F.translate("s", "ACGT", "TGCA"))).alias("y"), chars(F.col("q")).alias("q"), chars(F.reverse("q")).alias("r"))
+    e = r.where("s <> ''").select(F.explode(z).alias("z"))
+    return e.groupBy(F.col("z.x").alias("x"), F.col("z.y").alias("y"), (F.least(F.ascii("z.q"), F.ascii("z.r")) - 33).alias("quality")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("U1_sql_functions", sql("select seq_id, reverse(translate(s, 'ACGTMRWSYKVHDBN', 'TGCAKYWSRMBDHVN')) as rc, round((length(s) - length(translate(s, 'GC', ''))) / nullif(length(s), 0), 9) as gc from dna", DNA))
+def u1(spark, d):
+    """Registered functions from SQL."""
+    register(spark)
+    dna(spark, d).createOrReplaceTempView("hx_dna")
+    return spark.sql("select seq_id, seq_revcomp(s) as rc, round(seq_gc(s), 9) as gc from hx_dna")
+
+
 @query("S4_index_by_file", "select i.fileno, f.filepath, count(*) as records, count(distinct i.recno) as distinct_records, sum(i.seqlength)::bigint as letters from fasta_idx i join seq_files f using (fileno) group by all")
 def s4(spark, d):
     i = table(spark, d, "fasta_idx").drop("filepath").join(F.broadcast(table(spark, d, "seq_files").select("fileno", "filepath")), "fileno")
