@@ -12,4 +12,28 @@ def p1_loaded(spark, d):
 
 
 QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded}
-ORACLE = {}
+
+_P1 = r"""with t as (select raw_id, fmt, string_split(coalesce(raw_text, ''), chr(10)) as l from raw_records),
+c as (select raw_id, fmt, list_filter(list_transform(range(1, len(l) + 1), lambda i: case when i < len(l) and ends_with(l[i], chr(13)) then l[i][:-2] else l[i] end), lambda x: x <> '') as l from t),
+q as (select raw_id, l, regexp_extract(l[1], '^.([^ \t]*)', 1) as id from c where fmt = 'fastq'),
+fq as (select raw_id, case
+  when len(l) <> 4 then 'line_count'
+  when not starts_with(l[1], '@') or not starts_with(l[3], '+') then 'markup'
+  when len(string_split(id, ':')) <> 5 then 'seqid_fields'
+  when not regexp_full_match(id, '[A-Za-z0-9_-]+:[1-8]:[0-9]+:[0-9]+:[0-9]+') then 'seqid_value'
+  when not regexp_full_match(l[2], '[ACGTMRWSYKVHDBNacgtmrwsykvhdbn.+-]*') then 'seq_letters'
+  when length(l[4]) <> length(l[2]) then 'qual_length'
+  when not regexp_full_match(l[4], '[!-~]*') then 'qual_value' end as reason from q),
+h as (select raw_id, list_filter(l, lambda x: not starts_with(x, ';'))[1] as h from c where fmt = 'fasta'),
+d as (select raw_id, h, substr(h, 2) as d from h),
+f as (select raw_id, h, d, list_transform(regexp_extract_all(',' || d, ',[ \t]*("(?:[^"]|"")*"[ \t]*|[^",]*)', 1), lambda x: trim(x, ' ' || chr(9))) as f,
+  regexp_full_match(',' || d, '(?s)(,[ \t]*("([^"]|"")*"[ \t]*|[^",]*))*') as quotes from d),
+fa as (select raw_id, case
+  when h is null or not starts_with(h, '>') then 'markup'
+  when not quotes then 'quoting'
+  when len(f) <> 5 then 'desc_fields'
+  when not regexp_full_match(f[1], '[A-Z0-9-]+ [A-Z0-9]+ XDB:S[0-9]{9}') or not regexp_full_match(f[2], 'Chr (I|II|III|IV|V|VI|VII|VIII|IX|X|XI|XII|XIII|XIV|XV|XVI) from [1-9][0-9]*-[1-9][0-9]*')
+    or f[3] not in ('direct', 'reverse complement') or f[4] not in ('Verified ORF', 'Uncharacterized ORF', 'Dubious ORF') then 'desc_value' end as reason from f)
+select raw_id, reason from (select * from fq union all select * from fa) where reason is not null"""
+
+ORACLE = {"p1_found": _P1}
