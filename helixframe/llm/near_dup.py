@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from helixframe.llm.arrow import buffer_of, row_of
 
 PROBE = 16        # letters of a fingerprint window
-SKETCH = 32       # letters of a fingerprint
+SKETCH = 28       # letters of a fingerprint
 HOT_SHARE = 2e-4  # a window in more than this share of the records is hot
 HOT_PART = 0.25   # records with a larger share of hot windows are replicated to hot anchors too
 _COUNTERS = 22    # bits of the counters that find hot windows
