@@ -1,38 +1,11 @@
-"""Vectorised views of Arrow string columns, shared by the operators here.
-
-A string column of an Arrow batch is one byte buffer with offsets.  The kernels
-work on that buffer as a whole, so a batch of ten thousand texts costs a few
-numpy passes and no Python loop per text.
-"""
+"""Letters of Arrow string columns, on the buffer of a batch as a whole."""
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-
 
-def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string array; offsets has one entry more than rows, nulls are empty."""
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type):
-        kind, width = np.int64, 8
-    else:
-        col = col if pa.types.is_string(col.type) or pa.types.is_binary(col.type) else col.cast(pa.string())
-        kind, width = np.int32, 4
-    bufs = col.buffers()
-    offsets = np.frombuffer(bufs[1], dtype=kind, count=len(col) + 1 + col.offset)[col.offset:].astype(np.int64) if len(col) else np.zeros(1, np.int64)
-    data = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
-    if col.null_count and len(col):
-        # a null slot may cover bytes; give it the length 0 by copying what is valid
-        lens = np.diff(offsets)
-        valid = np.asarray(col.is_valid())
-        if (lens[~valid] != 0).any():
-            keep = np.repeat(valid, lens)
-            data = data[offsets[0]:offsets[-1]][keep]
-            offsets = np.concatenate([[0], np.cumsum(np.where(valid, lens, 0))])
-    base = offsets[0]
-    return data[base:offsets[-1]], offsets - base
+from helixframe.kernels.arrow import buffer_of, row_of
 
+__all__ = ["BASE", "buffer_of", "letters_only", "row_of"]
 
 #: byte -> upper-case ASCII letter, 0 for everything else
 _UPPER = np.zeros(256, np.uint8)
@@ -51,7 +24,3 @@ def letters_only(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     kept = np.concatenate([[0], np.cumsum(keep)])
     return up[keep], kept[offsets]
 
-
-def row_of(offsets: np.ndarray) -> np.ndarray:
-    """For each position of the buffer, the number of its row in the batch."""
-    return np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from helixframe.llm.arrow import buffer_of
+from helixframe.kernels.arrow import pieces
 from helixframe.llm.near_dup import mix
 
 N_WORDS = 12
@@ -77,16 +77,6 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n_words: int, powers: tuple[
     return rows[:n][ok], spans[ok], mix(h[ok])
 
 
-def _pieces(col: pa.Array):
-    """(first row, bytes, offsets) of slices of about _CHUNK bytes."""
-    data, offsets = buffer_of(col)
-    a, n = 0, len(offsets) - 1
-    while a < n:
-        z = max(int(np.searchsorted(offsets, offsets[a] + _CHUNK, side="right")) - 1, a + 1)
-        yield a, data[offsets[a]:offsets[z]], offsets[a:z + 1] - offsets[a]
-        a = z
-
-
 class ItemIndex:
     """The shingles of a block of items: by size class, the sorted hashes with the items and the texts they stand for."""
 
@@ -103,7 +93,7 @@ class ItemIndex:
         if texts and item not in self.sizes:
             self.sizes[item] = len(texts)
             col = pa.array(sorted(texts))
-            for first, data, offsets in _pieces(col):
+            for first, data, offsets in pieces(col, _CHUNK):
                 p = len(data)
                 rows, _, h = shingles(data, offsets, n, (_powers(_B, p), _powers(_B_INV, p)))
                 for r, x in zip(rows.tolist(), h.tolist()):
@@ -130,7 +120,7 @@ def _search(index):
         powers = (_powers(_B, 2 * _CHUNK), _powers(_B_INV, 2 * _CHUNK))
         for b in batches:
             ids, items, shared = [], [], []
-            for first, data, offsets in _pieces(b.column(1)):
+            for first, data, offsets in pieces(b.column(1), _CHUNK):
                 if len(data) > len(powers[0]):
                     powers = (_powers(_B, len(data)), _powers(_B_INV, len(data)))
                 rows, spans, h = shingles(data, offsets, n_words, powers)

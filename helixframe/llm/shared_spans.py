@@ -10,7 +10,8 @@ Level 50: the stretches whose anchor is repeated, and only those, are extended
 to windows of twice the length, and these are compared in full (a 50-letter
 window is two 50-bit codes, so nothing is left to a hash).
 
-``longest_shared`` goes on to 100, 200, ... until no candidate survives.
+The result asks for windows of 50 letters, so the doubling ends there: longer
+windows would cover no further position.
 
 Skew.  Exact copies are collapsed before level 25.  Equal stretches are
 collapsed by a map-side combined aggregation, so one that a third of all records
