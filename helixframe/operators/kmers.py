@@ -112,13 +112,31 @@ def consensus_matrix(df: DataFrame, seq_col: str, shift_col: str | None = None,
 
     Columns from 1 to ``width`` (the end of the longest without it).  Counts are combined before the shuffle.
     """
-    s = F.col(seq_col)
     shift = F.coalesce(F.col(shift_col), F.lit(0)) if shift_col else F.lit(0)
-    chars = df.where(s.isNotNull() & (s != "")).select(shift.alias("shift"), F.posexplode(F.split(s, "")).alias("i", "letter"))
-    cells = chars.select((F.col("i") + 1 + F.col("shift")).cast("int").alias("pos"), "letter").where(F.col("pos") >= 1)
-    if width is not None:
-        cells = cells.where(F.col("pos") <= width)
-    return cells.where(F.col("letter").isin(*alphabet)).groupBy("pos", "letter").agg(F.count(F.lit(1)).alias("n"))
+    src = df.where(F.col(seq_col).isNotNull()).select(shift.cast("long").alias("shift"), F.col(seq_col).alias("s"))
+    cells = src.mapInArrow(_letter_cells(width), "pos int, code int, n long").groupBy("pos", "code").agg(F.sum("n").alias("n"))
+    return cells.select("pos", F.char("code").alias("letter"), "n").where(F.col("letter").isin(*alphabet))
+
+
+def _letter_cells(width: int | None):
+    """Letters by column of each piece of a batch: one row for a column and letter."""
+    def run(batches):
+        for b in batches:
+            shifts = np.asarray(b.column(0))
+            for first, data, offsets in pieces(b.column(1)):
+                rows = row_of(offsets)
+                pos = np.arange(len(data)) - offsets[rows] + 1 + shifts[rows + first]
+                ok = (data < 128) & (pos >= 1) & (pos <= (width if width is not None else pos.max(initial=0)))
+                cell = pos[ok] * 128 + data[ok]
+                if len(cell) and cell.max() < 8 * len(cell) + 1_000_000:
+                    n = np.bincount(cell)
+                    cells = np.flatnonzero(n)
+                    n = n[cells]
+                else:
+                    cells, n = np.unique(cell, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((cells // 128).astype(np.int32)), pa.array((cells % 128).astype(np.int32)), pa.array(n.astype(np.int64))], ["pos", "code", "n"])
+
+    return run
 
 
 def consensus_string(matrix: DataFrame, threshold: float = 0.25, ambiguity: bool = True) -> DataFrame:

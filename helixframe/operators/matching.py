@@ -1,7 +1,7 @@
-"""Pattern matching over many subjects: exact in the JVM, inexact in numpy kernels.
+"""Pattern matching over many subjects.
 
-``choose`` is the planner: exact fixed matching stays a Column expression inside
-whole-stage codegen; mismatches, ambiguity letters and indels go to an Arrow kernel.
+``choose`` is the planner: exact counts stay in the JVM's regular expressions; exact places,
+mismatches, ambiguity letters and indels go to an Arrow kernel.
 Long subjects are cut into tiles first (``tile``), so one chromosome does not become one task.
 """
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from helixframe.functions.counting import count_pattern, match_starts
 from helixframe.kernels import matching as M
+from helixframe.kernels.arrow import pieces
 from helixframe.session import spread
 
 MATCHES = "subject_id long, start int, end int"
@@ -41,6 +42,33 @@ def _kernel_over(df: DataFrame, id_col: str, seq_col: str, find) -> DataFrame:
     return spread(df.select(F.col(id_col).cast("long"), seq_col)).mapInArrow(run, MATCHES)
 
 
+def _find_exact(pattern: str):
+    """All overlapping occurrences, by searching the buffer of a batch as one text."""
+    wanted = pattern.encode()
+
+    def places(text: bytes):
+        at = text.find(wanted)
+        while at >= 0:
+            yield at
+            at = text.find(wanted, at + 1)
+
+    def run(batches):
+        for b in batches:
+            for first, data, offsets in pieces(b.column(1)):
+                at = np.fromiter(places(data.tobytes()), np.int64)
+                row = np.searchsorted(offsets, at, side="right") - 1
+                inside = at + len(wanted) <= offsets[row + 1] if len(at) else np.zeros(0, bool)
+                at, row = at[inside], row[inside]
+                start = at - offsets[row] + 1
+                if len(data) and data.max() > 127:  # places count characters, not bytes
+                    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    start = chars[at] - chars[offsets[row]] + 1
+                start = start.astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + first)), pa.array(start), pa.array(start + np.int32(len(pattern) - 1))], ["subject_id", "start", "end"])
+
+    return run
+
+
 def match_pattern(df: DataFrame, id_col: str, seq_col: str, pattern: str, max_mismatch: int = 0, min_mismatch: int = 0, indels: bool = False, fixed=(True, True)) -> DataFrame:
     """``(subject_id, start, end)``: all occurrences, overlapping ones too; inexact hits may hang off the ends.
 
@@ -50,7 +78,7 @@ def match_pattern(df: DataFrame, id_col: str, seq_col: str, pattern: str, max_mi
         raise ValueError("the pattern is empty")
     kind, k = choose(max_mismatch, min_mismatch, indels, fixed), len(pattern)
     if kind == "exact":
-        return df.select(F.col(id_col).cast("long").alias("subject_id"), F.explode(match_starts(pattern, seq_col)).alias("start")).withColumn("end", F.col("start") + (k - 1))
+        return spread(df.select(F.col(id_col).cast("long"), seq_col)).mapInArrow(_find_exact(pattern), MATCHES)
     if kind == "indels":
         return _kernel_over(df, id_col, seq_col, lambda s: M.match_indels(pattern, s, max_mismatch, fixed))
     return _kernel_over(df, id_col, seq_col, lambda s: ((a, a + k - 1) for a in M.match_hamming(pattern, s, max_mismatch, min_mismatch, fixed)))

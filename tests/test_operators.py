@@ -92,6 +92,8 @@ def test_matching_odd_cases(spark):
     assert rows(M.match_pattern(x, "seq_id", "s", "CG")) == [(3, 2, 3), (4, 2, 3)]
     assert rows(M.palindromes(x, "seq_id", "s", min_arm=2)) == [(3, 1, 4), (4, 1, 4)]
     assert rows(M.match_pwm(x.where("false"), "seq_id", "s", np.eye(4))) == []
+    odd = seqs(spark, ["éAAA", "AA", "A", "AéA"])
+    assert rows(M.match_pattern(odd, "seq_id", "s", "AA")) == [(1, 2, 3), (1, 3, 4), (2, 1, 2)]
     with pytest.raises(ValueError):
         M.match_pattern(x, "seq_id", "s", "")
 
