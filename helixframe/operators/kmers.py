@@ -69,11 +69,11 @@ def oligo_frequency(df: DataFrame, id_col: str, seq_col: str, k: int, step: int
         raise ValueError("k must be 1 to 15, step at least 1")
     id_type = df.schema[id_col].dataType.simpleString()
     counts = df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("s")).mapInArrow(_counts(k, step, True), f"id {id_type}, code long, n long")
-    counts = counts.select(F.col("id").alias(id_col), _word(k).alias("kmer"), "n")
     if not zeros:
-        return counts
-    cells = df.select(id_col).crossJoin(F.broadcast(all_words(df.sparkSession, DNA_BASES, k).select(F.col("word").alias("kmer"))))
-    return cells.join(counts, [id_col, "kmer"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        return counts.select(F.col("id").alias(id_col), _word(k).alias("kmer"), "n")
+    cells = df.select(F.col(id_col).alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4 ** k - 1).cast("long"))).alias("code"))
+    full = cells.join(counts, ["id", "code"], "left")
+    return full.select(F.col("id").alias(id_col), _word(k).alias("kmer"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def oligo_frequency_collapsed(df: DataFrame, id_col: str, seq_col: str, k: int, step: int = 1, zeros: bool = True) -> DataFrame:
@@ -202,6 +202,7 @@ def n50(df: DataFrame, size_col: str) -> DataFrame:
     Sizes are counted first, so the ordered window runs over distinct sizes only.
     """
     by_size = df.where(F.col(size_col).isNotNull()).groupBy(F.col(size_col).alias("size")).agg(F.sum(F.col(size_col)).alias("part"))
-    total = F.broadcast(by_size.agg(F.sum("part").alias("total")))
-    running = F.sum("part").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0))
-    return by_size.withColumn("running", running).join(total, F.col("running") * 2 >= F.col("total")).agg(F.max("size").alias("n50"))
+    every = Window.partitionBy(F.lit(1))  # the window holds one row for a distinct size
+    running = F.sum("part").over(every.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0))
+    sums = by_size.withColumn("running", running).withColumn("total", F.sum("part").over(every))
+    return sums.where(F.col("running") * 2 >= F.col("total")).agg(F.max("size").alias("n50"))

@@ -186,7 +186,8 @@ def k6(spark, d):
     mask = spark.createDataFrame([(5, 8), (30, 40)], "start int, end int")
     letters = AL.masked_consensus(a, None, mask)
     views = AL.unmasked_columns(a, mask)
-    return views.join(letters, F.col("pos").between(F.col("start"), F.col("end"))).groupBy("start", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "letter"))), lambda x: x["letter"]), "").alias("text"))
+    cells = views.select("start", "end", F.explode(F.sequence("start", "end")).alias("pos"))
+    return cells.join(letters, "pos").groupBy("start", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "letter"))), lambda x: x["letter"]), "").alias("text"))
 
 
 @query("A13_dinucleotide_test", sql(
