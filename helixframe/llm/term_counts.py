@@ -109,6 +109,5 @@ def term_counts(texts: DataFrame, text_col: str, k: int = 8) -> DataFrame:
 def marked_terms(texts: DataFrame, text_col: str, k: int = 8, rare_below: int = 3, common_above: float = 0.2) -> DataFrame:
     """``term_counts`` with the mark ``rare``, ``common`` or null; the share is of all rows, null and empty ones too."""
     counts = term_counts(texts, text_col, k)
-    rows = F.broadcast(texts.agg(F.count(F.lit(1)).alias("n_rows")))  # one row
-    mark = F.when(F.col("df") < rare_below, "rare").when(F.col("df") > F.col("n_rows") * F.lit(common_above), "common")
-    return counts.join(rows).withColumn("mark", mark).drop("n_rows")
+    most = texts.count() * common_above
+    return counts.withColumn("mark", F.when(F.col("df") < rare_below, "rare").when(F.col("df") > most, "common"))
