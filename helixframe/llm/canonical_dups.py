@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from helixframe.llm.near_dup import mix
+from helixframe.session import ensure_checkpoint_dir
 
 MAX_BITS = 1 << 30
 BLOCK = 1 << 19  # bits of a block, 64 KB
@@ -102,8 +103,10 @@ def canonical_groups(df: DataFrame, id_col: str, key: Column) -> DataFrame:
     """
     spark = df.sparkSession
     keyed = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key")).where("id is not null and key is not null")
-    keyed = keyed.select("id", F.xxhash64("key").alias("h"), F.sha2("key", 256).alias("key"))
-    m, blocks = repeated_filter(keyed.select("h"), df.count())
+    keyed = keyed.select("id", F.xxhash64("key").alias("h"), F.unhex(F.sha2("key", 256)).alias("key"))
+    ensure_checkpoint_dir(spark)
+    keyed = keyed.checkpoint()  # 48 bytes a row; the texts are read and made canonical once
+    m, blocks = repeated_filter(keyed.select("h"), keyed.count())
     shared = spark.sparkContext.broadcast(blocks)
 
     @F.pandas_udf("boolean")
@@ -120,7 +123,7 @@ def canonical_groups(df: DataFrame, id_col: str, key: Column) -> DataFrame:
         return pd.Series(ok.reshape(PROBES, len(h)).all(axis=0))
 
     tested = keyed.withColumn("maybe", possible("h"))
-    repeats = tested.where("maybe").select("id", F.unhex("key").alias("key"))
+    repeats = tested.where("maybe").select("id", "key")
     groups = repeats.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
     grouped = repeats.join(groups, "key").select("id", "first_id", "n_copies")
     singles = tested.where(~F.col("maybe")).select("id", F.col("id").alias("first_id"), F.lit(1).cast("long").alias("n_copies"))
