@@ -121,8 +121,33 @@ def match_pattern_tiled(df: DataFrame, id_col: str, seq_col: str, pattern: str,
 
 
 def palindromes(df: DataFrame, id_col: str, seq_col: str, **options) -> DataFrame:
-    """``(subject_id, start, end)`` of maximal palindromes; options as in the kernel."""
-    return _kernel_over(df, id_col, seq_col, lambda s: M.find_palindromes(s, **options))
+    """``(subject_id, start, end)`` of maximal palindromes; options as in the kernel.
+
+    Without mismatches the nucleotide subjects of a batch are searched as one text. Between them stands
+    a letter that pairs with nothing, more often than the longest loop is wide, so no palindrome reaches over.
+    """
+    if options.get("max_mismatch", 0) or options.get("kind", "DNA") == "B":
+        return _kernel_over(df, id_col, seq_col, lambda s: M.find_palindromes(s, **options))
+    fence = "\n" * (options.get("max_loop", 1) + 2)
+
+    def run(batches):
+        for b in batches:
+            keys = b.column(0)
+            texts = [s or "" for s in b.column(1).to_pylist()]
+            at, size = 0, 0
+            for i, s in enumerate(texts):
+                size += len(s)
+                if size < 1_000_000 and i + 1 < len(texts):
+                    continue
+                part = texts[at:i + 1]
+                offsets = np.concatenate([[0], np.cumsum([len(x) + len(fence) for x in part])])
+                hits = np.array(M.find_palindromes(fence.join(part), **options), np.int64).reshape(-1, 2)
+                row = np.searchsorted(offsets, hits[:, 0] - 1, side="right") - 1
+                start, end = (hits[:, k] - offsets[row] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row + at)), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["subject_id", "start", "end"])
+                at, size = i + 1, 0
+
+    return spread(df.select(F.col(id_col).cast("long"), seq_col)).mapInArrow(run, MATCHES)
 
 
 def trim_patterns(df: DataFrame, id_col: str, seq_col: str, left: str = "", right: str = "", **options) -> DataFrame:

@@ -98,6 +98,15 @@ def test_matching_odd_cases(spark):
         M.match_pattern(x, "seq_id", "s", "")
 
 
+@pytest.mark.parametrize("options", [dict(min_arm=2), dict(min_arm=2, max_loop=6), dict(min_arm=3, max_loop=4, min_loop=1, wobble=True)])
+def test_palindromes_of_a_batch(spark, fixture, options):
+    from helixframe.kernels.matching import find_palindromes
+
+    texts = [s for s in fixture[0] if s is None or len(s) < 1000]
+    want = sorted((i, a, z) for i, s in enumerate(texts, 1) if s for a, z in find_palindromes(s, **options))
+    assert rows(M.palindromes(seqs(spark, texts), "seq_id", "s", **options)) == want
+
+
 def test_intervals(spark):
     r = spark.createDataFrame([(1, 2, 4), (1, 4, 6), (1, 7, 8), (1, 11, 12), (1, 5, 4), (2, -3, 2), (2, 9, 20)], "k int, start int, end int")
     assert rows(I.merge_ranges(r, "k")) == [(1, 2, 8), (1, 11, 12), (2, -3, 2), (2, 9, 20)]
