@@ -17,10 +17,20 @@ Skew.  Exact copies are collapsed first.  Windows that occur in more than
 ``HOT_SHARE`` of all records (adapters, a family that holds a third of the rows)
 are *hot*; there are at most windows-per-record / HOT_SHARE of them, so their
 list is broadcast.  Every record is replicated to anchors of its windows that
-aren't hot; a record is also replicated to hot anchors if hot windows make up
-more than ``HOT_PART`` of it.  Two similar records have either many other windows in
-common or both consist of hot windows to a good part, so no link is lost, and an
-adapter does not bring all records that carry it to one anchor.
+aren't hot, and an adapter does not bring all records that carry it to one anchor.
+Two records may have no other long window in common, as the parts between hot ones
+can be moved in pieces shorter than a window.  So a record with any hot window has
+two more routes, and since a hot window is hot in both, so have both records:
+
+* a second fingerprint of its short windows (``SHORT`` letters) that aren't hot
+  themselves, with ``2 * sketch`` letters.  At the similarity 0.5 moved parts
+  are 21 letters long on average, and about 0.47 of the short windows are common;
+* the anchors of its hot windows, if these make up more than ``HOT_PART`` of its long
+  or ``SHORT_PART`` of its short windows.  What has a smaller part keeps some common short
+  windows that aren't hot, and two records that have nothing else in common are both above it.
+
+As for the first fingerprint, what remains is the chance that two fingerprints
+agree nowhere though their windows do.
 """
 from __future__ import annotations
 
@@ -31,9 +41,11 @@ from pyspark.sql import DataFrame, functions as F
 from helixframe.llm.arrow import buffer_of, row_of
 
 PROBE = 16        # letters of a fingerprint window
+SHORT = 12        # letters of a window of the second fingerprint
 SKETCH = 28       # letters of a fingerprint
 HOT_SHARE = 2e-4  # a window in more than this share of the records is hot
 HOT_PART = 0.25   # records with a larger share of hot windows are replicated to hot anchors too
+SHORT_PART = 0.4  # the same for short windows
 _COUNTERS = 22    # bits of the counters that find hot windows
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -74,14 +86,14 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every k-letter window, k = 8 or 16; eight letters are hashed without collision."""
+    """(row, hash) of every k-letter window, k = 8, 12 or 16; eight letters are hashed without collision."""
     p = packed(data)
     lens = np.diff(offsets)
-    if k == 16:
-        p = mix(p[:-8]) * _GOLD + p[8:] if len(p) > 8 else p[:0]
+    if k > 8:
+        p = mix(p[:8 - k]) * _GOLD + p[k - 8:] if len(p) > k - 8 else p[:0]
     rows = row_of(offsets)[:len(p)]
     ok = np.arange(len(p)) + k <= offsets[1:][rows] if len(p) else np.zeros(0, bool)
-    assert k in (8, 16) and len(lens) == len(offsets) - 1
+    assert k in (8, 12, 16) and len(lens) == len(offsets) - 1
     return rows[ok], mix(p[ok])
 
 
@@ -95,29 +107,36 @@ def distinct_by_row(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, n
     return r, key & np.uint64((1 << 44) - 1), np.arange(len(r)) - first
 
 
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64((1 << _COUNTERS) - 1)).astype(np.int64)
+
+
 def _hot_counts(batches):
-    counts, n = np.zeros(1 << _COUNTERS, np.int64), 0
+    counts, n = {k: np.zeros(1 << _COUNTERS, np.int64) for k in (PROBE, SHORT)}, 0
     for b in batches:
-        _, h = window_hashes(*text_bytes(b.column(0)), PROBE)
-        counts += np.bincount(((h >> np.uint64(20)) & np.uint64((1 << _COUNTERS) - 1)).astype(np.int64), minlength=1 << _COUNTERS)
+        text = text_bytes(b.column(0))
+        for k, c in counts.items():
+            _, h = window_hashes(*text, k)
+            c += np.bincount(_counter(h >> np.uint64(20)), minlength=1 << _COUNTERS)
         n += b.num_rows
-    hot = np.flatnonzero(counts > max(HOT_SHARE * n, 8)) if n else np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_pydict({"counter": pa.array(hot, pa.int64()), "n": pa.array(counts[hot], pa.int64())})
+    for k, c in counts.items():
+        hot = np.flatnonzero(c > max(HOT_SHARE * n, 8)) if n else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_pydict({"k": pa.array([k] * len(hot), pa.int32()), "counter": pa.array(hot, pa.int64()), "n": pa.array(c[hot], pa.int64())})
 
 
-def hot_windows(seqs: DataFrame) -> np.ndarray:
-    """The counters of hot windows (a window that one record repeats counts each time).
+def hot_windows(seqs: DataFrame) -> dict[int, np.ndarray]:
+    """The counters of hot windows of either length (a window that one record repeats counts each time).
 
     Each task gives those above the share in its own part: a window above it
     overall is above it somewhere.  Of their sums, half the share of all records
     is kept, so the list has at most 2 * windows / HOT_SHARE entries.
     """
-    found = seqs.mapInArrow(_hot_counts, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    kept = found.where(F.col("n") > seqs.count() * HOT_SHARE / 2).select("counter")
-    return np.array(sorted(r[0] for r in kept.collect()), np.int64)
+    found = seqs.mapInArrow(_hot_counts, "k int, counter long, n long").groupBy("k", "counter").agg(F.sum("n").alias("n"))
+    kept = found.where(F.col("n") > seqs.count() * HOT_SHARE / 2).select("k", "counter").collect()
+    return {k: np.array(sorted(c for x, c in kept if x == k), np.int64) for k in (PROBE, SHORT)}
 
 
-def _anchors(buckets: int, least: int, hot: np.ndarray, sketch: int):
+def _anchors(buckets: int, least: int, hot: dict[int, np.ndarray], sketch: int):
     """The replicas of each fingerprint, gathered by bucket of anchors: one row for a bucket and chunk.
 
     ``entries`` holds 4 bytes of the anchor for each replica, then the record's
@@ -138,24 +157,37 @@ def _anchors(buckets: int, least: int, hot: np.ndarray, sketch: int):
             out_e.append(key[a:z].tobytes() + np.ascontiguousarray(planes).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_e, pa.binary())], ["bucket", "entries"])
 
+    def first(at, r, most):
+        return at[np.arange(len(at)) - np.searchsorted(r[at], r[at]) < most]
+
     def run(batches):
-        table = np.zeros(1 << _COUNTERS, bool)
-        table[hot] = True
+        tables = {k: np.zeros(1 << _COUNTERS, bool) for k in hot}
+        for k, t in tables.items():
+            t[hot[k]] = True
         syms, ids, held = [], [], 0
         for b in batches:
             rid = np.asarray(b.column(0))
-            r, sym, rank = distinct_by_row(*window_hashes(*text_bytes(b.column(1)), PROBE))
+            text = text_bytes(b.column(1))
+            r, sym, rank = distinct_by_row(*window_hashes(*text, PROBE))
             n = np.bincount(r, minlength=b.num_rows)
             rich = n[r] >= least
-            if len(hot):
-                is_hot = table[(sym & np.uint64((1 << _COUNTERS) - 1)).astype(np.int64)]
-                share = np.bincount(r, weights=is_hot, minlength=b.num_rows) / np.maximum(n, 1)
-                picks = []
-                for kind in (False, True):
-                    at = np.flatnonzero((is_hot == kind) & rich & ((share > HOT_PART)[r] if kind else True))
-                    place = np.arange(len(at)) - np.searchsorted(r[at], r[at])
-                    picks.append(at[place < sketch])
-                at = np.concatenate(picks)
+            if len(hot[PROBE]):
+                is_hot = tables[PROBE][_counter(sym)]
+                n_hot = np.bincount(r, weights=is_hot, minlength=b.num_rows)
+                carries = (n >= least) & (n_hot > 0)
+                rows, h = window_hashes(*text, SHORT)
+                rows, h = rows[carries[rows]], h[carries[rows]]
+                short_r, short, _ = distinct_by_row(rows, h)
+                short_hot = tables[SHORT][_counter(short)]
+                n_short = np.bincount(short_r, minlength=b.num_rows)
+                n_short_hot = np.bincount(short_r, weights=short_hot, minlength=b.num_rows)
+                full = (n_hot > HOT_PART * n) | (n_short_hot > SHORT_PART * n_short)
+                at = np.concatenate([first(np.flatnonzero(~is_hot & rich), r, sketch), first(np.flatnonzero(is_hot & rich & full[r]), r, sketch)])
+                second = first(np.flatnonzero(~short_hot), short_r, 2 * sketch)
+                if len(second):
+                    syms.append(mix(short[second] + _GOLD) >> np.uint64(20))  # apart from the anchors of long windows
+                    ids.append(rid[short_r[second]])
+                    held += len(second)
             else:
                 at = np.flatnonzero(rich & (rank < sketch))
             if len(at):
@@ -202,9 +234,24 @@ def _meet(batches):
 
 
 def _verify(window: int, threshold: float, least: int):
-    """Keep the pairs whose exact similarity reaches the threshold."""
+    """Keep the pairs whose exact similarity reaches the threshold.
+
+    Most pairs met by chance: they go by 44 bits of each window, with room for
+    three windows taken for one another; the rest is compared in full.
+    """
+    def near(batch):
+        keys = []
+        for c in ("seq_a", "seq_b"):
+            rows, h = window_hashes(*text_bytes(batch.column(c)), window)
+            key = np.sort((rows.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
+            keys.append(key[np.append(True, key[1:] != key[:-1])[:len(key)]])
+        key = np.sort(np.concatenate(keys))
+        n_all, n_both = (np.bincount((k >> np.uint64(44)).astype(np.int64), minlength=batch.num_rows) for k in (key, key[1:][key[1:] == key[:-1]]))
+        return pa.array(n_both + 3 >= threshold * (n_all - n_both))
+
     def run(batches):
         for batch in batches:
+            batch = batch.filter(near(batch))
             n = batch.num_rows
             sets = []
             for c in ("seq_a", "seq_b"):

@@ -67,3 +67,16 @@ def test_repeated_row_and_empty_table(spark, clash):
     text = "".join(random.Random(1).choices("ACGT", k=80))
     assert set(found(spark, [(1, text), (1, text), (2, text)], clash)) == {(1, 2)}
     assert found(spark, [], clash) == []
+
+
+def test_moved_parts_beside_a_frequent_adapter(spark, clash):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choices("ACGT", k=n))
+    adapter = text(30)
+    rows = []
+    for i in range(0, 52, 2):  # so few that the adapter is frequent, but not with a letter before it
+        parts = [text(15) for _ in range(3)]
+        rows += [(i, "".join(parts) + adapter), (i + 1, "".join(parts[::-1]) + adapter)]
+    want = brute(rows)
+    assert len(want) >= 26
+    assert set(found(spark, rows, clash)) == want
