@@ -10,10 +10,12 @@ Each text is cut into segments at line ends and sentence ends.  A segment is
 
 Open parts are decided by their phrases: the shingles of ``PHRASE`` words are
 exploded, and the distinct hosts of each phrase counted over the whole corpus.
-A word is *stitched in* if it is repeated in the open parts of its page or stands in a
-phrase that is replicated on other hosts.  Open parts that are mostly stitched together
-count as list parts; prose of an unknown language isn't.  A page is flagged if list parts
-make up more than ``SHARE`` of its characters.
+A phrase is replicated if it stands on more than ``HOST_SHARE`` of all hosts (and on more
+than ``OTHER_HOSTS``).  A word is *stitched in* if it stands in a replicated phrase, or if it
+is repeated in the open parts of its page and these aren't *varied*: prose of any language
+repeats most of its words too, but a good part of its vocabulary occurs only once.
+Open parts that are mostly stitched together count as list parts; prose of an unknown
+language isn't.  A page is flagged if list parts make up more than ``SHARE`` of its characters.
 
 Only pages whose decision depends on it look their phrases up; phrases of all pages are counted.
 """
@@ -29,8 +31,11 @@ from helixframe.session import ensure_checkpoint_dir
 
 SHARE = 0.45      # between a third and six tenths
 OTHER_HOSTS = 2   # a phrase is replicated if it stands on so many other hosts at least
+HOST_SHARE = 0.25  # and on more than this share of all hosts
 STITCHED = 0.6    # open parts count as lists if more than this share of their words is stitched in
-PHRASE = 2        # words of a phrase
+PHRASE = 8        # words of a phrase; shorter parts (headings) have none
+SENTENCE_WORDS = (5, 40)  # words of a sentence of prose: the one that the middle word of the text stands in
+VARIED = 0.25     # prose has at least this share of its vocabulary only once
 FUNCTION_SHARE = 0.12
 
 # Frequent function words of some languages.
@@ -53,6 +58,7 @@ PLAIN_SHARE = 0.25  # a line with so many function words and no mark of a list i
 _TOKEN = re.compile(r"[^\W_]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힯]")
 _END = re.compile(r"(?<!Fig)[.!?;](?=\s)|[。！？；]")
+_MARK = re.compile(r"[^\w\s'’/-]+")
 _LINK = re.compile(r"https?://|www\.|<a href|\]\(|\b[\w-]+\.[a-z]{2,8}/\S")
 _PRICE = re.compile(r"\d[.,]\d\d\s*(?:[A-Z]{3}\b|[€$£¥]|in stock|★|-\d+ ?%)")
 _TAG = re.compile(r"(?:^|\s)#\w")
@@ -125,31 +131,51 @@ def _length(text: str) -> int:
     return len(text) - sum(map(text.count, " \n\t\r"))
 
 
+def is_varied(opened: list[str], count: Counter) -> bool:
+    """Prose by its vocabulary; fragments and strings of words without any punctuation aren't."""
+    lengths = []
+    for segment in opened:
+        n = len(_TOKEN.findall(segment))
+        lengths += [n] if n <= SENTENCE_WORDS[1] else [len(_TOKEN.findall(x)) for x in _MARK.split(segment)]
+    lengths.sort()
+    run, middle = 0, sum(lengths) / 2
+    for n in lengths:
+        run += n
+        if run >= middle:
+            return SENTENCE_WORDS[0] <= n <= SENTENCE_WORDS[1] and sum(k == 1 for k in count.values()) >= VARIED * len(count)
+    return False
+
+
 def profile(text: str) -> dict:
-    """Characters without blanks (all, in lists, open); words of the open parts (all, repeated); their phrases, and the
-    phrases that each word which isn't repeated stands in."""
+    """Characters without blanks (all, in lists, open); words of the open parts (all, and those stitched in by repetition);
+    their phrases, each with the places of its words that aren't stitched in already."""
     listed = opened = 0
     parts: list[list[str]] = []
+    texts = []
     for segment in segments(text):
         kind = kind_of(segment)
         if kind == LIST:
             listed += _length(segment)
         elif kind == OPEN:
             opened += _length(segment)
+            texts.append(segment)
             parts.append(_TOKEN.findall(segment.lower()))
     count = Counter(w for words in parts for w in words)
-    phrases, single = set(), []
+    varied = is_varied(texts, count)
+    phrases, spans, at = set(), [], 0
     for words in parts:
-        spans = [" ".join(words[i:i + PHRASE]) for i in range(max(len(words) - PHRASE + 1, 1))]
-        phrases.update(spans)
-        single += [(w, spans[max(i - PHRASE + 1, 0):i + 1] or spans[-1:]) for i, w in enumerate(words) if count[w] == 1]
+        for i in range(len(words) - PHRASE + 1):
+            phrases.add(phrase := " ".join(words[i:i + PHRASE]))
+            if left := [at + k for k in range(i, i + PHRASE) if varied or count[words[k]] == 1]:
+                spans.append({"phrase": phrase, "words": left})
+        at += len(words)
     return {
         "n_chars": _length(text), "n_list": listed, "n_open": opened, "n_words": sum(count.values()),
-        "n_repeated": sum(n for n in count.values() if n > 1), "phrases": sorted(phrases), "singles": [{"word": w, "phrases": p} for w, p in single],
+        "n_repeated": 0 if varied else sum(n for n in count.values() if n > 1), "phrases": sorted(phrases), "spans": spans,
     }
 
 
-_SINGLES = pa.list_(pa.struct([("word", pa.string()), ("phrases", pa.list_(pa.string()))]))
+_SPANS = pa.list_(pa.struct([("phrase", pa.string()), ("words", pa.list_(pa.int32()))]))
 
 
 def _profiles(batches):
@@ -158,7 +184,7 @@ def _profiles(batches):
         cols = {"doc": b.column("doc"), "host": b.column("host")}
         cols |= {k: pa.array([x[k] for x in out], pa.int32()) for k in ("n_chars", "n_list", "n_open", "n_words", "n_repeated")}
         cols["phrases"] = pa.array([x["phrases"] for x in out], pa.list_(pa.string()))
-        cols["singles"] = pa.array([x["singles"] for x in out], _SINGLES)
+        cols["spans"] = pa.array([x["spans"] for x in out], _SPANS)
         yield pa.RecordBatch.from_pydict(cols)
 
 
@@ -172,24 +198,25 @@ def spam_profile(docs: DataFrame, id_col: str, text_col: str, host_col: str) ->
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(host_col), F.concat(F.lit("row "), F.col(id_col).cast("string"))).alias("host"), F.col(text_col).alias("t")).where("doc is not null and t is not null")
     pages = src.mapInArrow(
         _profiles,
-        "doc long, host string, n_chars int, n_list int, n_open int, n_words int, n_repeated int, phrases array<string>, singles array<struct<word: string, phrases: array<string>>>",
+        "doc long, host string, n_chars int, n_list int, n_open int, n_words int, n_repeated int, phrases array<string>, spans array<struct<phrase: string, words: array<int>>>",
     )
     ensure_checkpoint_dir(docs.sparkSession)
-    pages = pages.checkpoint()  # read three times below; holds no text but the open parts
+    pages = pages.checkpoint()  # read four times below; holds no text but the open parts
     chars = F.greatest("n_chars", F.lit(1))
     shares = pages.withColumn("list_share", F.col("n_list") / chars).withColumn("open_share", F.col("n_open") / chars)
+    n_hosts = pages.select(F.countDistinct(F.xxhash64("host"))).first()[0]
     hosts = (
         pages.select(F.xxhash64("host").alias("host"), F.explode(F.transform("phrases", lambda p: F.xxhash64(p))).alias("phrase"))
         .distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("hosts"))
-        .where(F.col("hosts") > OTHER_HOSTS).select("phrase")
+        .where(F.col("hosts") > max(OTHER_HOSTS, HOST_SHARE * n_hosts)).select("phrase")
     )
     depends = (F.col("list_share") <= SHARE) & (F.col("list_share") + F.col("open_share") > SHARE)
     replicated = (
         shares.where(depends & (F.col("n_repeated") <= STITCHED * F.col("n_words")))
-        .select("doc", F.explode("singles").alias("s"))
-        .select("doc", "s.word", F.explode(F.transform("s.phrases", lambda p: F.xxhash64(p))).alias("phrase"))
+        .select("doc", F.explode("spans").alias("s"))
+        .select("doc", "s.words", F.xxhash64("s.phrase").alias("phrase"))
         .join(hosts, "phrase", "left_semi")
-        .select("doc", "word").distinct()
+        .select("doc", F.explode("words").alias("word")).distinct()
         .groupBy("doc").agg(F.count(F.lit(1)).alias("n_replicated"))
     )
     joined = shares.select("doc", "list_share", "open_share", "n_words", "n_repeated", depends.alias("depends")).join(replicated, "doc", "left")

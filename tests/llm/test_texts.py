@@ -109,3 +109,12 @@ def test_spam(spark, clash):
     assert {r["doc"]: r["is_spam"] for r in got} == {i: spam for i, (_, spam) in PAGES.items() if spam is not None}
     assert len(got) == 17
     assert G.spam_profile(df.where("false"), "doc_id", "text", "applicant").collect() == []
+
+
+def test_prose_that_repeats_its_words_and_headings_are_no_spam(spark):
+    prose = ("Talo rakennettiin joen rannalle. Joen vesi virtasi talo vieressä hitaasti. Vanha talo seisoi joen rannalle rakennetun sillan vieressä. "
+             "Sillan vieressä virtasi hitaasti joen vesi. Talo seisoi vieressä, vesi virtasi hitaasti sillan alla. Kylän lapset juoksivat sillan yli talo vieressä. "
+             "Lapset seisoi joen rannalle. Illalla vesi virtasi hitaasti, lapset seisoi sillan vieressä. ")
+    rows = [(1, prose, "h1"), *((i, "BESCHREIBUNG", f"h{i}") for i in range(2, 8))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, applicant string")
+    assert not [r["doc"] for r in G.spam_profile(df, "doc_id", "text", "applicant").collect() if r["is_spam"]]
