@@ -4,8 +4,9 @@ Pure Python, no Spark.  A rule either returns what it read or raises
 :class:`Broken`, which carries the reason and the place (1-based line and
 column in the text as delivered).  :func:`parse_record` reads a text that holds
 one record.  :func:`parse_stream` reads a text of many records: after a broken
-record it goes on at the next *validated* record start, so a quote that is never
-closed costs one record and not the rest of the file.
+record it goes on at the next record start, and every line belongs to a record
+or an error, so a quote that is never closed costs one record and not the rest
+of the file.
 """
 from __future__ import annotations
 
@@ -201,25 +202,35 @@ def parse_record(fmt: str, text: str | None) -> Record | Broken:
 
 # ---- many records in one text -------------------------------------------
 
-def _is_anchor(fmt: str, lines: list[tuple[int, str]], i: int) -> bool:
-    """A validated record start: FASTA a '>' line; FASTQ an '@' line whose next-but-one begins with '+'.
+def _starts(fmt: str, lines: list[tuple[int, str]], i: int) -> bool:
+    """A record may start here: FASTA a '>' line; FASTQ an '@' line whose next-but-one begins with '+'.
 
-    A FASTQ quality line may begin with '@' too, so the mark alone is no proof:
-    the third line has to have its '+' and the first a well-formed seqid.
+    A FASTQ quality line may begin with '@' too, so the mark alone is no proof.
     """
     if fmt == "fasta":
         return lines[i][1].startswith(">")
-    if not lines[i][1].startswith("@") or i + 2 >= len(lines) or not lines[i + 2][1].startswith("+"):
-        return False
-    try:
-        seqid(lines[i])
-        return True
-    except Broken:
-        return False
+    return lines[i][1].startswith("@") and i + 2 < len(lines) and lines[i + 2][1].startswith("+")
+
+
+def _block_end(lines: list[tuple[int, str]], i: int) -> int:
+    """Where the broken FASTQ block at i ends: at the next line that may start a record, or behind
+    four lines if it has its marks, else at an '@' line behind them."""
+    whole = _starts("fastq", lines, i)
+    j = i + 1
+    while j < len(lines):
+        if _starts("fastq", lines, j) or (j - i >= 4 and (whole or lines[j][1].startswith("@"))):
+            break
+        j += 1
+    return j
 
 
 def parse_stream(fmt: str, text: str | None):
-    """Yield a Record or a Broken for each record of a longer text, going on after errors at the next anchor."""
+    """Yield a Record or a Broken for each record of a longer text; every line belongs to one of them.
+
+    After an error in FASTQ a new block begins at an '@' line whose next-but-one
+    begins with '+', even if its seqid is bad, behind four lines that have their
+    marks, and at an '@' line behind four others.
+    """
     lines = logical_lines(text or "")
     if fmt == "fasta":
         lines = [x for x in lines if not x[1].startswith(";")]
@@ -227,16 +238,14 @@ def parse_stream(fmt: str, text: str | None):
     while i < len(lines):
         if fmt == "fasta":
             j = i + 1
-            while j < len(lines) and not _is_anchor(fmt, lines, j):
+            while j < len(lines) and not _starts(fmt, lines, j):
                 j += 1
-            block = lines[i:j]
         else:
-            block = lines[i:i + 4]
+            j = min(i + 4, len(lines))
         try:
-            yield _RULES[fmt](block)
-            i += len(block)
+            yield _RULES[fmt](lines[i:j])
         except Broken as e:
             yield e
-            i += 1
-            while i < len(lines) and not _is_anchor(fmt, lines, i):
-                i += 1
+            if fmt == "fastq":
+                j = _block_end(lines, i)
+        i = j

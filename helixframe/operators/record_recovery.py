@@ -29,8 +29,8 @@ def parse_records(df: DataFrame, id_col: str = "raw_id", fmt_col: str = "fmt", t
     """One row per record: typed fields where it is valid, reason and place of the error where not.
 
     ``many=False``: each text holds one record.  ``many=True``: a text may hold
-    any number; after a broken one the parser goes on at the next validated
-    record start.  Result columns: the id column, then ``RECORD_SCHEMA``; other
+    any number; after a broken one the parser goes on at the next record
+    start, and every broken block has a row.  Result columns: the id column, then ``RECORD_SCHEMA``; other
     columns of ``df`` are not carried, so none can clash.
 
     Defined results: a null or empty text is a broken record (``line_count`` for

@@ -62,6 +62,20 @@ def test_stream_goes_on_at_the_next_anchor():
     assert list(parse_stream("fasta", None)) == []
 
 
+def test_every_broken_record_of_a_stream_has_its_reason():
+    good = "@a:1:1:1:1\nAC\n+\n@I\n"
+
+    def items(text):
+        return [(x.reason, x.line) if isinstance(x, Broken) else x.name for x in parse_stream("fastq", text)]
+
+    bad = "@bad{}\nAC\n+\nII\n"
+    assert items(bad.format(1) + bad.format(2) + good) == [("seqid_fields", 1), ("seqid_fields", 5), "a:1:1:1:1"]
+    assert items("@a:1:1:1:1:1:1\nAC\n+\n@I\n" * 3) == [("seqid_fields", 1), ("seqid_fields", 5), ("seqid_fields", 9)]
+    assert items(good + "@a:1:1:1:2\nAC\n-\nII\n@a:1:1:1:3\nAC\n-\nII\n" + good) == ["a:1:1:1:1", ("markup", 7), ("markup", 11), "a:1:1:1:1"]
+    assert items("@bad1\nAC\n+\n@bad2\nAC\n+\nII\n" + good) == [("seqid_fields", 1), ("seqid_fields", 4), "a:1:1:1:1"]
+    assert items("@bad\nAC\n+\nII\nstray\nlines\n" + good) == [("seqid_fields", 1), ("markup", 5), "a:1:1:1:1"]
+
+
 def test_operator(spark):
     long = "@a:1:1:1:1\n" + "ACGT" * 50_000 + "\n+\n" + "I" * 200_000
     rows = [(1, "fasta", f">{HEAD}\nAC"), (2, "fasta", None), (3, "fastq", ""), (4, None, "x"), (5, "sam", "x"), (6, "fastq", long), (None, "fastq", "x"), (1, "fasta", f">{HEAD}\nAC")]
