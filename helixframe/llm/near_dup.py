@@ -69,15 +69,10 @@ def packed(data: np.ndarray) -> np.ndarray:
 
 
 def _code_points(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Like buffer_of, for a batch with characters beyond ASCII: one byte to a character.
-
-    Characters beyond ASCII get the byte 128 + (code point mod 127); the exact
-    comparison that follows uses the same bytes, so two such letters can be taken
-    for one another.  Sequence data has none; the case is kept from crashing.
-    """
+    """Like buffer_of, for a batch with characters beyond ASCII: one code point to a character."""
     parts = [np.frombuffer((x or "").encode("utf-32-le"), np.uint32) for x in col.to_pylist()]
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    return np.where(flat < 128, flat, 128 + flat % 127).astype(np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    return flat, np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,15 +81,25 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every k-letter window, k = 8, 12 or 16; eight letters are hashed without collision."""
-    p = packed(data)
+    """(row, hash) of every k-letter window, k = 8, 12 or 16; eight letters are hashed without collision.
+
+    Letters beyond ASCII are hashed by code point and place in the window, to all
+    64 bits; a window without any has the same hash in every batch.
+    """
+    p = packed(data.astype(np.uint8, copy=False))
     lens = np.diff(offsets)
     if k > 8:
         p = mix(p[:8 - k]) * _GOLD + p[k - 8:] if len(p) > k - 8 else p[:0]
     rows = row_of(offsets)[:len(p)]
     ok = np.arange(len(p)) + k <= offsets[1:][rows] if len(p) else np.zeros(0, bool)
     assert k in (8, 12, 16) and len(lens) == len(offsets) - 1
-    return rows[ok], mix(p[ok])
+    h = mix(p)
+    if data.dtype != np.uint8:
+        cp = np.where(data > 127, data, 0).astype(np.uint64)
+        for j in range(k):
+            c = cp[j:j + len(h)]
+            h = h + np.where(c > 0, mix(((c << np.uint64(8)) + np.uint64(j + 1)) * _GOLD), np.uint64(0))
+    return rows[ok], h[ok]
 
 
 def distinct_by_row(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -80,3 +80,21 @@ def test_moved_parts_beside_a_frequent_adapter(spark, clash):
     want = brute(rows)
     assert len(want) >= 26
     assert set(found(spark, rows, clash)) == want
+
+
+def test_letters_beyond_ascii_differ(spark, clash):
+    rng = random.Random(13)
+    base = "".join(rng.choices("ACGT", k=80))
+    other = "".join("\u0100" if i % 3 == 0 else c for i, c in enumerate(base))
+    rows = [(1, other), (2, other.replace("\u0100", "\u0180")), (3, other[5:]), (4, base), (5, base[:60] + "\u0100" * 9), (6, "".join(map(chr, range(0x1000, 0x1040))))]
+    rows.append((7, rows[5][1][4:]))
+    want = brute(rows)
+    assert (1, 3) in want and (4, 5) in want and (6, 7) in want and (1, 2) not in want
+    assert set(found(spark, rows, clash)) == want
+
+
+def test_code_points_that_are_equal_mod_127(spark, clash):
+    text = "".join(random.Random(17).choices("ACGT\u0102", k=90))
+    rows = [(1, text), (2, text.replace("\u0102", "\u0181"))]
+    assert (0x102 - 0x181) % 127 == 0
+    assert brute(rows) == set() and found(spark, rows, clash) == []
