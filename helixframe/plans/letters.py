@@ -220,6 +220,12 @@ def a8s(spark, d):
     return K.consensus_matrix(reads(spark, d).withColumn("shift", (F.col("seq_id") % 3).cast("int")), "s", "shift", 60)
 
 
+@query("A8_consensus_shift_whole", sql(f", c as (select unnest(range(1, length(s) + 1)) as i, s, (seq_id % 3)::int as shift from reads where s <> ''), m as (select (i + shift)::int as pos, substr(s, i, 1) as letter, count(*) as n from c group by all) select * from m where contains('{A.DNA_ALPHABET}', letter)", READS))
+def a8sw(spark, d):
+    """The shifted matrix over whole reads."""
+    return K.consensus_matrix(reads(spark, d).withColumn("shift", (F.col("seq_id") % 3).cast("int")), "s", "shift")
+
+
 @query("A9_consensus_string", sql(
     _MATRIX + """, p as (select pos, letter, n / sum(n) over (partition by pos) as p from m),
     b as (select pos, base, sum(case letter """ + " ".join(f"when '{k}' then case when contains('{v}', base) then p / {len(v)} else 0 end" for k, v in A.IUPAC_CODE_MAP.items()) + """ else 0 end) as p

@@ -43,3 +43,8 @@ def test_query(spark, duck, name):
 
 def test_oracle_names_are_queries():
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_shifted_matrix_covers_whole_reads(spark):
+    n = [QUERIES[q](spark, DATA).groupBy().sum("n").first()[0] for q in ("A8_consensus_matrix", "A8_consensus_shift_whole")]
+    assert n[0] == n[1]
