@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from helixframe.functions.transforms import letters_only, reverse_complement, strsplit, three_bands
+from helixframe.functions.transforms import ascii_upper, letters_only, reverse_complement, strsplit, three_bands
 from helixframe.operators import alignment as AL
 from helixframe.operators.independence import dinucleotide_test
-from helixframe.plans.base import DNA, PATTERNS, READS, dna, patterns, reads, sql
+from helixframe.plans.base import _UP, DNA, PATTERNS, READS, dna, patterns, reads, sql
 from helixframe.session import ensure_checkpoint_dir, table
 from helixframe.sources import fasta, fastq
 from helixframe.streaming.drops import windowed_composition
@@ -86,6 +86,14 @@ def p21(spark, d):
     return t.select("pattern_id", b["left"].alias("head"), b["middle"].alias("band"), b["right"].alias("tail"))
 
 
+@query("P21_dictionary_bands_flanks", f"with p as (select pattern_id, translate(pattern, {_UP}) as p, tb_start, tb_width from motif_dict where pattern is not null) select pattern_id, substr(p, 1, tb_start - 1) as head, substr(p, tb_start, tb_width) as band, substr(p, tb_start + tb_width) as tail from p where tb_start >= 1 and tb_width >= 1 and tb_start + tb_width - 1 <= length(p) and translate(substr(p, tb_start, tb_width), 'ACGT', '') = ''")
+def p21f(spark, d):
+    """The bands of all patterns whose trusted band is plain; the flanks may have ambiguity letters."""
+    t = table(spark, d, "motif_dict").where("pattern is not null and tb_start >= 1 and tb_width >= 1 and tb_start + tb_width - 1 <= length(pattern)").withColumn("p", ascii_upper("pattern"))
+    b = three_bands("p", start=F.col("tb_start"), width=F.col("tb_width"))
+    return t.select("pattern_id", b["left"].alias("head"), b["middle"].alias("band"), b["right"].alias("tail")).where(F.translate("band", "ACGT", "") == "")
+
+
 @query("P3_list_elements", sql(", p as (select seq_id, list_filter(string_split(s, 'GATC'), lambda x: x <> '') as l from dna), e as (select seq_id, unnest(l) as piece, unnest(range(1, len(l) + 1))::int as pos from p) select * from e", DNA))
 def p3l(spark, d):
     """Lists of sequences in the long form: one row for an element, with its place."""

@@ -48,3 +48,9 @@ def test_oracle_names_are_queries():
 def test_shifted_matrix_covers_whole_reads(spark):
     n = [QUERIES[q](spark, DATA).groupBy().sum("n").first()[0] for q in ("A8_consensus_matrix", "A8_consensus_shift_whole")]
     assert n[0] == n[1]
+
+
+def test_bands_with_ambiguous_flanks(spark):
+    got = QUERIES["P21_dictionary_bands_flanks"](spark, DATA).collect()
+    assert any(set(r["head"] + r["tail"]) - set("ACGT") for r in got)
+    assert not any(set(r["band"]) - set("ACGT") for r in got)
