@@ -1,10 +1,10 @@
 """Splitting oversized sequences at natural boundaries: structure-tree packing.
 
-The letters of a record form a tree: the record at the root, below it its
-contigs (each ends with the assembly gap that closes it), below a contig fixed
-cuts of the limit's width.  Siblings are packed from the left as long as they fit
-the limit; only a contig that is larger than a piece is descended into.  Each
-piece repeats the last ``overlap`` letters of the one before.
+The tree is flat: the record at the root, below it its contigs (each ends with the
+assembly gap that closes it).  The pieces are packed from the left over the ends of
+the contigs, as the required result fixes each piece by the one before; a contig that
+reaches beyond the limit is cut there.  Each piece repeats the last ``overlap``
+letters of the one before.
 """
 from __future__ import annotations
 
