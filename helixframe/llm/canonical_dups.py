@@ -1,15 +1,11 @@
 """Duplicates hidden by formatting: canonical keys, Bloom filters, exact grouping.
 
 Each record's canonical form (letters of the sequence; the words of each field of
-its description, fields sorted) is hashed.  Each task notes its hashes in two
-Bloom filters: seen once, and seen repeatedly.  The filters of all tasks are
-merged block by block: what is in the ``once`` filters of two tasks is seen
-repeatedly.  A hash that is in the merged ``repeated`` filter is a possible
-repeat; only those rows are shuffled and grouped exactly, all others are emitted
-as singletons without a shuffle.
-
-The filter has 16 to 32 bits a row up to MAX_BITS (128 MB, the bound of the broadcast).
-Beyond 30 million times that it fills up: more rows are shuffled, and the result stays exact.
+its description, fields sorted) is hashed once, and the hashes are stored.  Each task notes its hashes
+in filters of what it saw once and what it saw repeatedly; the filters of all tasks are merged
+range by range, and each task learns which of its own hashes are repeated
+(:mod:`helixframe.llm.repeats`).  Only these possible repeats are shuffled with their full keys and
+grouped exactly; all others are emitted as singletons where they lie.
 """
 from __future__ import annotations
 
@@ -17,12 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from helixframe.llm.near_dup import mix
-from helixframe.session import ensure_checkpoint_dir
-
-MAX_BITS = 1 << 30
-BLOCK = 1 << 19  # bits of a block, 64 KB
-PROBES = 4
+from helixframe.llm.repeats import Replies, by_task, numbered, repeated
+from helixframe.operators.skew import join_groups
+from helixframe.session import stored
 
 
 def canonical_letters(c: Column) -> Column:
@@ -37,63 +30,27 @@ def canonical_fields(c: Column) -> Column:
     return F.array_sort(F.filter(F.split(F.trim(words), ","), lambda x: x != ""))
 
 
-def _bits(h: np.ndarray, m: int) -> np.ndarray:
-    """PROBES positions below m (a power of two) for each hash."""
-    g = mix(h.astype(np.int64).view(np.uint64))
-    a, b = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
-    return np.concatenate([((a + np.uint64(i) * b) & np.uint64(m - 1)).astype(np.int64) for i in range(PROBES)])
-
+def _hashes(batch: pa.RecordBatch):
+    h = np.asarray(batch.column("h")).view(np.uint64)
+    for p, rows in by_task(batch):
+        yield p, h[rows], np.zeros(len(rows), np.uint32), rows
 
-def _blocks(once: np.ndarray, repeated: np.ndarray):
-    """Rows (block, kind, positions): the set bits of each block as 4-byte numbers."""
-    out: list[tuple] = []
-    for kind, at in ((0, once), (1, repeated)):
-        if len(at):
-            block = at // BLOCK
-            cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(at)]])
-            out += [(int(block[a]), kind, (at[a:z] % BLOCK).astype("<u4").tobytes()) for a, z in zip(cuts[:-1], cuts[1:])]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["block", "kind", "bits"])
 
-
-def _local_filters(m: int):
+def _tested(folder: str):
+    """(id, h, key) with the key of possible repeats only; of the others it stays null."""
     def run(batches):
-        hashes = [np.asarray(b.column(0)) for b in batches]
-        if hashes:
-            h, n = np.unique(np.concatenate(hashes), return_counts=True)
-            yield _blocks(np.unique(_bits(h, m)), np.unique(_bits(h[n > 1], m)))
+        replies = Replies(folder)
+        for b in batches:
+            h = np.asarray(b.column("h"))
+            maybe = np.zeros(b.num_rows, bool)
+            for p, rows in by_task(b):
+                maybe[rows] = replies.has(p, h.view(np.uint64)[rows], np.zeros(len(rows), np.uint32))
+            key = pa.compute.if_else(pa.array(maybe), b.column("key"), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), key], ["id", "key"])
 
     return run
 
 
-def _merge(batches):
-    """Blocks come sorted; a bit in the ``once`` filters of two tasks, or in any ``repeated`` one, is repeated."""
-    def done(block, seen):
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(seen > 1).tobytes()], pa.binary())], ["block", "bits"])
-
-    now, seen = None, None
-    for b in batches:
-        for block, kind, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            if block != now:
-                if now is not None and (seen > 1).any():
-                    yield done(now, seen)
-                now, seen = block, np.zeros(BLOCK, np.uint8)
-            at = np.frombuffer(bits.as_buffer(), "<u4")
-            seen[at] = 2 if kind else np.minimum(seen[at] + 1, 2)
-    if now is not None and (seen > 1).any():
-        yield done(now, seen)
-
-
-def repeated_filter(hashes: DataFrame, n_rows: int) -> tuple[int, dict[int, bytes]]:
-    """(bits, block -> packed bits) of the hashes that occur more than once; never misses one."""
-    m = BLOCK
-    while m < 16 * n_rows and m < MAX_BITS:
-        m *= 2
-    n_parts = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    local = hashes.mapInArrow(_local_filters(m), "block int, kind int, bits binary")
-    merged = local.repartition(n_parts, "block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary")
-    return m, {r[0]: bytes(r[1]) for r in merged.collect()}  # m / 8 bytes at most
-
-
 def canonical_groups(df: DataFrame, id_col: str, key: Column) -> DataFrame:
     """``(id, first_id, n_copies)`` for every row: the smallest id of its group and the group's size.
 
@@ -101,32 +58,14 @@ def canonical_groups(df: DataFrame, id_col: str, key: Column) -> DataFrame:
     key null for rows that don't take part); rows with a null id are left out; a repeated row is a copy; an
     empty table gives an empty result; other columns are not carried, so none clash.
     """
-    spark = df.sparkSession
     keyed = df.select(F.col(id_col).cast("long").alias("id"), key.alias("key")).where("id is not null and key is not null")
-    keyed = keyed.select("id", F.xxhash64("key").alias("h"), F.unhex(F.sha2("key", 256)).alias("key"))
-    ensure_checkpoint_dir(spark)
-    keyed = keyed.checkpoint()  # 48 bytes a row; the texts are read and made canonical once
-    m, blocks = repeated_filter(keyed.select("h"), keyed.count())
-    shared = spark.sparkContext.broadcast(blocks)
-
-    @F.pandas_udf("boolean")
-    def possible(h):
-        import pandas as pd
-
-        bits = _bits(h.to_numpy(), m)
-        block, at = bits // BLOCK, bits % BLOCK
-        ok = np.zeros(len(bits), bool)
-        for k in np.unique(block):
-            if (packed := shared.value.get(int(k))) is not None:
-                here = block == k
-                ok[here] = np.unpackbits(np.frombuffer(packed, np.uint8))[at[here]] == 1
-        return pd.Series(ok.reshape(PROBES, len(h)).all(axis=0))
-
-    tested = keyed.withColumn("maybe", possible("h"))
-    repeats = tested.where("maybe").select("id", "key")
+    # 48 bytes a row; the texts are read and made canonical once
+    keyed = stored(numbered(keyed.select("id", F.xxhash64("key").alias("h"), F.unhex(F.sha2("key", 256)).alias("key"))), "keys")
+    tested = keyed.mapInArrow(_tested(repeated(keyed.select("h", "p"), _hashes)), "id long, key binary")
+    repeats = tested.where("key is not null")
     groups = repeats.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
-    grouped = repeats.join(groups, "key").select("id", "first_id", "n_copies")
-    singles = tested.where(~F.col("maybe")).select("id", F.col("id").alias("first_id"), F.lit(1).cast("long").alias("n_copies"))
+    grouped = join_groups(repeats, groups, ["key"], "n_copies").select("id", "first_id", "n_copies")
+    singles = tested.where("key is null").select("id", F.col("id").alias("first_id"), F.lit(1).cast("long").alias("n_copies"))
     return grouped.unionByName(singles)
 
 

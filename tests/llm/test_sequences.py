@@ -120,11 +120,35 @@ def test_canonical_groups(spark, rows, clash):
     assert len(got) == len(want) and set(got) == want
 
 
-def test_canonical_groups_full_filter_and_empty(spark, rows, monkeypatch):
+def test_canonical_groups_same_hash_and_empty(spark, rows, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA)
-    want = sorted(map(tuple, C.canonical_groups(df, "seq_id", C.record_key("desc_line", "seq_data")).collect()))
-    monkeypatch.setattr(C, "BLOCK", 64)   # a filter that is full: everything is a possible repeat, the result stays
-    monkeypatch.setattr(C, "MAX_BITS", 64)
-    assert sorted(map(tuple, C.canonical_groups(df, "seq_id", C.record_key("desc_line", "seq_data")).collect())) == want
+    key = C.record_key("desc_line", "seq_data")
+    want = sorted(map(tuple, C.canonical_groups(df, "seq_id", key).collect()))
+    monkeypatch.setattr(C.F, "xxhash64", lambda c: C.F.lit(7).cast("long"))  # every record is a possible repeat: the result stays
+    assert sorted(map(tuple, C.canonical_groups(df, "seq_id", key).collect())) == want
     monkeypatch.undo()
-    assert C.canonical_groups(spark.createDataFrame([], SCHEMA), "seq_id", C.record_key("desc_line", "seq_data")).collect() == []
+    assert C.canonical_groups(spark.createDataFrame([], SCHEMA), "seq_id", key).collect() == []
+
+
+def test_filter_flags_repeats_only_and_stays_small(spark):
+    """Two million rows, one in a hundred repeated, a third of them with one key: exactly the repeats are flagged, at a few bytes a row."""
+    from helixframe.llm.repeats import Replies, _blocks, numbered, repeated
+    from helixframe.session import stored
+
+    n = 2_000_000
+    h = C.F.when(C.F.col("id") % 3 == 0, 5).when(C.F.col("id") % 100 == 1, C.F.col("id") - 1).otherwise(C.F.col("id"))
+    rows = stored(numbered(spark.range(n).select(C.F.xxhash64(h).alias("h"))))
+    blocks = rows.mapInArrow(_blocks(C._hashes, 4), "part int, p int, n int, entries binary")
+    entries, size = blocks.selectExpr("sum(n)", "sum(length(entries))").first()
+    assert entries < 0.68 * n and size < 13 * entries
+    folder = repeated(rows, C._hashes)
+
+    def flags(batches):
+        replies = Replies(folder)
+        for b in batches:
+            got = sum(int(replies.has(p, C.np.asarray(b.column("h")).view(C.np.uint64)[r], C.np.zeros(len(r), C.np.uint32)).sum()) for p, r in C.by_task(b))
+            yield C.pa.RecordBatch.from_pydict({"n": C.pa.array([got], C.pa.int64())})
+
+    flagged = rows.mapInArrow(flags, "n long").agg({"n": "sum"}).first()[0]
+    counts = rows.groupBy("h").count().where("count > 1").agg({"count": "sum"}).first()[0]
+    assert flagged == counts
