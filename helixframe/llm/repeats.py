@@ -9,6 +9,9 @@ The blocks of a range are merged where they meet: a place that is set in two of
 is *repeated*.  For every task that holds one, the repeated places of its own blocks are written to the shared folder,
 and a later pass over the rows of ``p`` reads those and no others.
 
+Asked ``by_first``, the blocks tell besides, for each first hash that is repeated, whether all its
+records have the same second hash.
+
 Nothing is broadcast or collected, no filter has a size limit, and a hash that a third of all
 records have is one entry for each task.
 """
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from helixframe.session import shared_folder
 
 FLUSH = 8_000_000  # entries that a task holds before it sends them (96 MB)
+ONE, SEVERAL = 1, 2
 _ENTRIES = "part int, p int, n int, entries binary"
 
 
@@ -112,7 +116,7 @@ def _in_pairs(h: np.ndarray, g: np.ndarray, hs: np.ndarray, gs: np.ndarray) -> n
     return found
 
 
-def _merge(batches):
+def _merge(by_first: bool):
     """Blocks come sorted by range; for each task of the range, its repeated places."""
     def done(held):
         parts = [unpack(e, n) for _, n, e in held]
@@ -124,7 +128,13 @@ def _merge(batches):
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(h)))
-        hit = np.repeat((size > 1) | np.logical_or.reduceat(many, at), size)
+        hit = (size > 1) | np.logical_or.reduceat(many, at)
+        if by_first:  # pairs of one first hash lie side by side
+            first = np.flatnonzero(np.concatenate([[True], h[at[1:]] != h[at[:-1]]]))
+            kinds = np.repeat(np.diff(np.append(first, len(at))), np.diff(np.append(first, len(at))))
+            hit |= kinds > 1
+            g = np.repeat(np.where(kinds > 1, SEVERAL, ONE), size).astype(np.uint32)
+        hit = np.repeat(hit, size)
         h, g, block = h[hit], g[hit], block[hit]
         back = np.argsort(block, kind="stable")
         h, g, block = h[back], g[back], block[back]
@@ -135,24 +145,31 @@ def _merge(batches):
             ["p", "n", "entries"],
         )
 
-    now, held = None, []
-    for b in batches:
-        for part, p, n, e in zip(*(b.column(i).to_pylist() for i in range(4))):
-            if part != now and held:
-                yield done(held)
-                held = []
-            now = part
-            held.append((p, n, e))
-    if held:
-        yield done(held)
+    def run(batches):
+        now, held = None, []
+        for b in batches:
+            for part, p, n, e in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if part != now and held:
+                    yield done(held)
+                    held = []
+                now = part
+                held.append((p, n, e))
+        if held:
+            yield done(held)
+
+    return run
+
 
+def repeated(rows: DataFrame, hashes: Callable, by_first: bool = False) -> str:
+    """The folder that holds, for each ``p`` of the stored ``rows``, its hashes that more than one record has.
 
-def repeated(rows: DataFrame, hashes: Callable) -> str:
-    """The folder that holds, for each ``p`` of the stored ``rows``, its hashes that more than one record has."""
+    With ``by_first`` these are the first hashes that more than one record (or one record with several second hashes) has, and in
+    place of the second hash stands ONE or SEVERAL, for the number of second hashes they come with.
+    """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = rows.mapInArrow(_blocks(hashes, parts), _ENTRIES)
-    replies = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge, "p int, n int, entries binary")
+    replies = blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_merge(by_first), "p int, n int, entries binary")
     folder = shared_folder(spark, "repeats")
     replies.repartition(parts, "p").write.mode("append").partitionBy("p").parquet(folder)
     return folder
@@ -186,6 +203,14 @@ class Replies:
         order = np.lexsort((g, h))
         return h[order], g[order]
 
+    def kind(self, p: int, h: np.ndarray) -> np.ndarray:
+        """0, ONE or SEVERAL for each first hash, of what was asked ``by_first``."""
+        hs, kinds = self.of(p)
+        if not len(hs):
+            return np.zeros(len(h), np.uint32)
+        at = np.minimum(np.searchsorted(hs, h), len(hs) - 1)
+        return np.where(hs[at] == h, kinds[at], 0)
+
     def has(self, p: int, h: np.ndarray, g: np.ndarray) -> np.ndarray:
         return _in_pairs(h, g, *self.of(p))
 

@@ -85,24 +85,40 @@ def test_term_counts_heavy_and_light_agree(spark, rows, monkeypatch):
     assert T.term_counts(spark.createDataFrame([], SCHEMA), "seq_data").collect() == []
 
 
-def test_shared_spans(spark, rows, clash):
+@pytest.mark.parametrize("n", [7, 20, 31, 50, 130])
+def test_shared_spans(spark, rows, clash, n):
     seqs = {i: letters(s) for i, _, s in rows if i is not None}
     holders = defaultdict(set)
     for i, x in seqs.items():
-        for j in range(len(x) - 49):
-            holders[x[j:j + 50]].add(i)
+        for j in range(len(x) - n + 1):
+            holders[x[j:j + n]].add(i)
     want = set()
     for i, x in seqs.items():
-        covered = [False] * (len(x) + 1)
-        for j in range(len(x) - 49):
-            w = x[j:j + 50]
+        covered = bytearray(b"0" * (len(x) + 1))
+        for j in range(len(x) - n + 1):
+            w = x[j:j + n]
             if len(holders[w]) > 1 and not set(w) - set("ACGT"):
-                covered[j:j + 50] = [True] * 50
-        want |= {(i, m.start() + 1, m.end()) for m in re.finditer("1+", "".join("01"[c] for c in covered))}
-    got = [tuple(r) for r in S.shared_spans(clash(spark.createDataFrame(rows, SCHEMA)), "seq_id", "seq_data").collect()]
+                covered[j:j + n] = b"1" * n
+        want |= {(i, m.start() + 1, m.end()) for m in re.finditer("1+", covered.decode())}
+    got = [tuple(r) for r in S.shared_spans(clash(spark.createDataFrame(rows, SCHEMA)), "seq_id", "seq_data", n).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_levels_double():
+    assert S.levels(50) == [25, 50] and S.levels(20) == [20] and S.levels(31) == [31]
+    for n in range(1, 400):
+        ls = S.levels(n)
+        assert ls[-1] == n and ls[0] <= 31 and all(a < b <= 2 * a for a, b in zip(ls, ls[1:]))
+
+
+def test_shared_spans_of_repeated_rows_and_copies(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choices("ACGT", k=200))
+    rows = [(1, text), (1, text), *((i, text) for i in range(10, 40)), (50, text[:49]), (51, "".join(rng.choices("ACGT", k=90)) + text[30:90])]
+    got = sorted(map(tuple, S.shared_spans(spark.createDataFrame(rows, "seq_id long, seq_data string"), "seq_id", "seq_data").collect()))
+    assert got == sorted([(1, 1, 200), (1, 1, 200), *((i, 1, 200) for i in range(10, 40)), (51, 91, 150)])
+
+
 def test_shared_spans_empty(spark):
     assert S.shared_spans(spark.createDataFrame([], SCHEMA), "seq_id", "seq_data").collect() == []
 
