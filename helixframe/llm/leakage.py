@@ -1,24 +1,23 @@
 """Evaluation texts inside training texts: size-partitioned MinHash containment search.
 
-Test items are short and documents long, so the resemblance of the two says
-nothing; what counts is how much of the item the document contains.  Items are
-partitioned by the number of their distinct shingles into classes (2^c, 2^(c+1)].
-The threshold is one shared shingle, a containment of 1 / size; the tuning
-that loses nothing at that threshold takes bands of one row and, for each class,
-as many minima as its largest item has shingles.  The sketch of a class is then the
-class's whole list of shingle hashes, which a document's shingles are looked up in.  Each hit
-is verified word by word.
-
-Shingles are ``n_words`` words in a row; words are runs of ASCII letters and
-digits, case ignored.  They are hashed in numpy over the Arrow buffer of a batch.
-
-The item index is broadcast in blocks of at most BLOCK shingles (about 32 MB);
-more items mean more blocks, each of which goes over the documents once.
+A short item inside a long document has a tiny resemblance to it, so both are partitioned into passages of one
+size: ``n_words`` words in a row, each a set of ``n_words - K_WORDS + 1`` word shingles.  Passages
+of one size are alike or not: where a document contains a passage of an item, the containment of the two
+passages is 1 and so is their resemblance, and their MinHash is equal for certain.  So one minimum
+is sketch enough for a passage, and the search loses nothing.  Neighbouring passages mostly have
+the same minimum, so an item's sketch has about one value for each (n_words - K_WORDS + 2) / 2 words.
+
+The sketches of all items are gathered in a filter of at most ``GATE_BITS`` bits.  Each document is read once; only
+passages whose MinHash is in the filter are candidates.  They are shuffled
+to the items' passages and verified word by word, and the containment of an item is
+counted exactly over its distinct passages of ``n_words`` words.  A filter that is full lets more candidates
+through and changes no result.
+
+The items go through the same shuffle; nothing but the filter is collected or broadcast.
+A passage that a third of all documents have is spread over ``SALT`` keys.
 """
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -27,7 +26,9 @@ from helixframe.kernels.arrow import pieces
 from helixframe.llm.near_dup import mix
 
 N_WORDS = 12
-BLOCK = 200_000
+K_WORDS = 5
+GATE_BITS = 1 << 27  # 16 MB, the bound of what is broadcast
+SALT = 8
 _CHUNK = 1 << 20  # bytes of text hashed at a time; a longer text is one chunk
 _LOW = np.zeros(256, np.uint8)
 for _c in range(26):
@@ -37,7 +38,6 @@ for _c in range(48, 58):
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 _C = np.uint64(0xD6E8FEB86659FD93)
-_WORD = re.compile(r"[A-Za-z0-9]+")
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -60,120 +60,130 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return low, starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, n_words: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, hash) of every run of ``n_words`` words, and the words' spans."""
-    low, starts, ends, rows = word_spans(data, offsets)
-    if len(starts) < n_words:
-        return rows[:0], np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(low.astype(np.uint64) * powers[0][:len(low)], dtype=np.uint64)])
-    words = mix((sums[ends] - sums[starts]) * powers[1][starts])
-    n = len(words) - n_words + 1
-    h = words[:n].copy()
-    for j in range(1, n_words):
-        h *= _C
-        h += words[j:j + n]
-    ok = rows[:n] == rows[n_words - 1:]
-    spans = np.stack([starts[:n], ends[n_words - 1:]], axis=1)
-    return rows[:n][ok], spans[ok], mix(h[ok])
-
+class Passages:
+    """The passages of ``n_words`` words of a buffer, with their MinHash."""
 
-class ItemIndex:
-    """The shingles of a block of items: by size class, the sorted hashes with the items and the texts they stand for."""
-
-    def __init__(self, n_words: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, n_words: int, powers: tuple[np.ndarray, np.ndarray]):
+        self.low, self.starts, self.ends, rows = word_spans(data, offsets)
         self.n_words = n_words
-        self.texts: dict[int, dict[str, list]] = {}    # hash -> shingle text -> items
-        self.sizes: dict = {}                          # item -> distinct shingles
-        self.classes: dict[int, np.ndarray] = {}
-
-    def add(self, item, text: str | None) -> int:
-        words = [w.lower() for w in _WORD.findall(text or "")]
-        n = self.n_words
-        texts = {" ".join(words[i:i + n]) for i in range(len(words) - n + 1)}
-        if texts and item not in self.sizes:
-            self.sizes[item] = len(texts)
-            col = pa.array(sorted(texts))
-            for first, data, offsets in pieces(col, _CHUNK):
-                p = len(data)
-                rows, _, h = shingles(data, offsets, n, (_powers(_B, p), _powers(_B_INV, p)))
-                for r, x in zip(rows.tolist(), h.tolist()):
-                    self.texts.setdefault(x, {}).setdefault(col[first + r].as_py(), []).append(item)
-        return len(texts)
-
-    def seal(self) -> "ItemIndex":
-        by_class: dict[int, set] = {}
-        for h, texts in self.texts.items():
-            for items in texts.values():
-                for item in items:
-                    by_class.setdefault((self.sizes[item] - 1).bit_length(), set()).add(h)
-        self.classes = {c: np.array(sorted(hs), np.uint64) for c, hs in sorted(by_class.items())}
-        return self
-
-
-def _search(index):
+        n = len(self.starts) - n_words + 1
+        if n <= 0:
+            self.at, self.row, self.sketch = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.low.astype(np.uint64) * powers[0][:len(self.low)], dtype=np.uint64)])
+        words = mix((sums[self.ends] - sums[self.starts]) * powers[1][self.starts])
+        k = min(K_WORDS, n_words)
+        h = words[:len(words) - k + 1].copy()
+        for j in range(1, k):
+            h *= _C
+            h += words[j:j + len(h)]
+        low, size, wide = mix(h), 1, n_words - k + 1
+        while 2 * size <= wide:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        if rest := wide - size:
+            low = np.minimum(low[:len(low) - rest], low[rest:])
+        self.at = np.flatnonzero(rows[:n] == rows[n_words - 1:])
+        self.row, self.sketch = rows[self.at], low[self.at]
+
+    def text(self, i: int) -> str:
+        """The words of the i-th passage, one blank apart."""
+        a = self.at[i]
+        piece = self.low[self.starts[a]:self.ends[a + self.n_words - 1]].tobytes()
+        return b" ".join(piece.replace(b"\0", b" ").split()).decode()
+
+
+def _places(sketch: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two bits of the filter for each value."""
+    m = np.uint64(bits - 1)
+    return [(sketch & m).astype(np.int64), ((sketch >> np.uint64(32)) * np.uint64(3) & m).astype(np.int64)]
+
+
+def _passages(n_words: int, gate=None):
+    """``(id, sketch, passage)`` of each row ``(id, text)``; with a gate only of sketches that are in it."""
     def run(batches):
-        ix: ItemIndex = index.value
-        n_words = ix.n_words
-        gate = np.zeros(1 << 20, bool)  # most shingles of a corpus are in no item: one look tells
-        for hs in ix.classes.values():
-            gate[(hs & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         powers = (_powers(_B, 2 * _CHUNK), _powers(_B_INV, 2 * _CHUNK))
+        bits = None if gate is None else np.unpackbits(np.frombuffer(gate.value, np.uint8)).astype(bool)
         for b in batches:
-            ids, items, shared = [], [], []
             for first, data, offsets in pieces(b.column(1), _CHUNK):
                 if len(data) > len(powers[0]):
                     powers = (_powers(_B, len(data)), _powers(_B_INV, len(data)))
-                rows, spans, h = shingles(data, offsets, n_words, powers)
-                at = np.flatnonzero(gate[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                if not len(at):
-                    continue
-                hit = np.zeros(len(at), bool)
-                for hs in ix.classes.values():
-                    place = np.minimum(np.searchsorted(hs, h[at]), len(hs) - 1)
-                    hit |= hs[place] == h[at]
-                found: dict[tuple, set] = {}
-                for i in at[hit]:
-                    s, e = spans[i]
-                    text = " ".join(w.lower() for w in _WORD.findall(data[s:e].tobytes().decode("utf-8", "replace")))
-                    for item in ix.texts[int(h[i])].get(text, ()):
-                        found.setdefault((first + int(rows[i]), item), set()).add(text)
-                for (row, item), texts in found.items():
-                    ids.append(row)
-                    items.append(item)
-                    shared.append(len(texts))
-            sizes = [ix.sizes[i] for i in items]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(ids, pa.int64())), pa.array(items, pa.int64()), pa.array(shared, pa.int32()), pa.array(np.array(shared, float) / np.array(sizes, float) if ids else [], pa.float64())],
-                ["doc", "item", "shared", "containment"],
-            )
+                x = Passages(data, offsets, n_words, powers)
+                on = np.arange(len(x.at))
+                if bits is not None:
+                    one, two = _places(x.sketch, len(bits))
+                    on = np.flatnonzero(bits[one] & bits[two])
+                rows = x.row[on]
+                seen, keep, texts = set(), [], []
+                for j, i in enumerate(on.tolist()):
+                    t = (rows[j], x.text(i))
+                    if t not in seen:  # a passage that a text repeats is sent once
+                        seen.add(t)
+                        keep.append(j)
+                        texts.append(t[1])
+                keep = np.array(keep, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(rows[keep] + first)), pa.array(x.sketch[on[keep]].view(np.int64)), pa.array(texts, pa.string())], ["id", "sketch", "passage"]
+                )
 
     return run
 
 
+def _gate_bits(bits: int):
+    def run(batches):
+        on = np.zeros(bits, bool)
+        for b in batches:
+            for at in _places(np.asarray(b.column(0)).view(np.uint64), bits):
+                on[at] = True
+        if on.any():
+            yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+    return run
+
+
+def _merged(batches):
+    whole = None
+    for b in batches:
+        for x in b.column(0):
+            x = np.frombuffer(x.as_buffer(), np.uint8)
+            whole = x.copy() if whole is None else whole | x
+    if whole is not None:
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([whole.tobytes()], pa.binary())})
+
+
+def sketch_filter(passages: DataFrame) -> bytes:
+    """A filter of the items' sketches, merged by the executors: 16 bits for each, at most GATE_BITS."""
+    n = passages.select(F.approx_count_distinct("sketch")).first()[0]
+    bits = 1 << 10
+    while bits < 16 * n and bits < GATE_BITS:
+        bits *= 2
+    parts = passages.select("sketch").mapInArrow(_gate_bits(bits), "bits binary")
+    while parts.rdd.getNumPartitions() > 8:  # a tree of merges, as each part has up to GATE_BITS
+        parts = parts.repartition(max(parts.rdd.getNumPartitions() // 8, 1)).mapInArrow(_merged, "bits binary")
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        whole |= np.frombuffer(bytes(r[0]), np.uint8)
+    return whole.tobytes()
+
+
 def leaked_items(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, n_words: int = N_WORDS) -> DataFrame:
-    """``(doc, item, shared, containment)``: documents that hold at least one shingle of an item, how many of its distinct shingles, and which part of it.
+    """``(doc, item, shared, containment)``: documents that hold at least one passage of an item, how many of its distinct passages, and which part of it.
 
-    Defined results: null and short texts on either side give no row; a repeated
-    document row gives its rows again; of items with the same id the first counts; rows with a null id are left out; other
+    Defined results: null and short texts on either side give no row; rows with the same id are one
+    document, or one item, with the passages of all of them; rows with a null id are left out; other
     columns are not carried, so none clash; empty tables give an empty result.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).alias("t")).where("doc is not null and t is not null")
-    schema = "doc long, item long, shared int, containment double"
-    results, index, n = [], ItemIndex(n_words), 0
-
-    def close():
-        results.append(src.mapInArrow(_search(spark.sparkContext.broadcast(index.seal())), schema))
-
-    wanted = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
-    for row in wanted.toLocalIterator():  # one block at a time on the driver
-        n += index.add(row["i"], row["t"])
-        if n >= BLOCK:
-            close()
-            index, n = ItemIndex(n_words), 0
-    if n or not results:
-        close()
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
+    src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).alias("t")).where("id is not null and t is not null")
+    wanted = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("t")).where("id is not null and t is not null")
+    schema = "id long, sketch long, passage string"
+    of_items = wanted.mapInArrow(_passages(n_words), schema).distinct()
+    gate = spark.sparkContext.broadcast(sketch_filter(of_items))
+    of_docs = src.mapInArrow(_passages(n_words, gate), schema)
+    salted = of_docs.select(F.col("id").alias("doc"), "sketch", "passage", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int").alias("salt"))
+    targets = of_items.select(F.col("id").alias("item"), "sketch", "passage", F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt"))
+    sizes = of_items.groupBy("id").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("id", "item")
+    # one row for a passage of a document; several if the document came in several rows
+    both = salted.join(targets, ["sketch", "passage", "salt"]).select("doc", "item", "passage").distinct()
+    found = both.groupBy("doc", "item").agg(F.count(F.lit(1)).cast("int").alias("shared"))
+    return found.join(sizes, "item").select("doc", "item", "shared", (F.col("shared") / F.col("size")).alias("containment"))

@@ -68,19 +68,45 @@ def leak_fixture():
     return docs, items
 
 
-@pytest.mark.parametrize("block", [200_000, 50])
-def test_leaks_equal_brute_force(spark, clash, monkeypatch, block):
-    monkeypatch.setattr(L, "BLOCK", block)
+@pytest.mark.parametrize("bits", [1 << 27, 1 << 10])
+def test_leaks_equal_brute_force(spark, clash, monkeypatch, bits):
+    monkeypatch.setattr(L, "GATE_BITS", bits)  # with the small one the filter is full
     docs, items = leak_fixture()
-    sets = {i: s for i, t in items if i is not None and (s := shingles(t))}
-    want = {(d, i, len(x), len(x) / len(s)) for d, t in docs if d is not None for i, s in sets.items() if (x := s & shingles(t))}
+    items += [(7, items[7][1]), (8, items[9][1]), *((100 + i, items[i][1]) for i in range(20))]  # repeated ids, with the same and another text; items that share all passages
+    sets, texts = {}, {}
+    for i, t in items:
+        if i is not None and (s := shingles(t)):
+            sets[i] = sets.get(i, set()) | s
+    for d, t in docs:
+        if d is not None:
+            texts[d] = texts.get(d, set()) | shingles(t)
+    want = {(d, i, len(x), len(x) / len(s)) for d, t in texts.items() for i, s in sets.items() if (x := s & t)}
     dd = clash(spark.createDataFrame(docs, "doc_id long, text string"))
     ii = clash(spark.createDataFrame(items, "item_id long, text string"))
-    got = {tuple(r) for r in L.leaked_items(dd, "doc_id", "text", ii, "item_id", "text").collect()}
-    assert got == want
+    got = [tuple(r) for r in L.leaked_items(dd, "doc_id", "text", ii, "item_id", "text").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
     assert L.leaked_items(dd.where("false"), "doc_id", "text", ii.where("false"), "item_id", "text").collect() == []
 
 
+def test_leaks_of_many_items_read_the_documents_once(spark, tmp_path):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choices(words, k=40))) for i in range(8000)]  # 232,000 passages
+    docs = [(i, " ".join(rng.choices(words, k=30)) + " " + items[i * 31 % 8000][1][:80]) for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    dd = spark.read.parquet(str(tmp_path / "docs"))
+    ii = spark.createDataFrame(items, "item_id long, text string")
+    df = L.leaked_items(dd, "doc_id", "text", ii, "item_id", "text")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    where = {}
+    for i, t in items:
+        for s in shingles(t):
+            where.setdefault(s, set()).add(i)
+    want = {(d, i) for d, t in docs for s in shingles(t) for i in where.get(s, ())}
+    assert {(r["doc"], r["item"]) for r in df.collect()} == want and want
+
+
 PROSE = "The lower recess has a pressure of about 3 bar. During operation the piston is arranged below the sealing ring until the flow rate falls. "
 POLISH = "Budynek stoi obok rzeki, przez którą prowadzi stary kamienny most zbudowany dawno temu.\nMieszkańcy chętnie spacerują tamtędy wieczorami latem.\n"
 PAGES = {
