@@ -58,6 +58,38 @@ def test_split(spark, rows, clash):
         P.split_sequences(spark.createDataFrame(rows, SCHEMA), "seq_id", "seq_data", 10, 10)
 
 
+def test_packing_follows_the_tree():
+    """Two scaffolds of three contigs; the second fits a piece by itself and isn't cut inside, though its first contig would fit the first piece."""
+    contig = lambda n, gap: "A" * n + "N" * gap
+    text = contig(200, 10) + contig(150, 10) + contig(180, 40) + contig(120, 10) + contig(160, 10) + contig(300, 40) + contig(100, 0)
+    ends = [210, 370, 590, 720, 890, 1230, 1330]
+    nested, flat = P.structure_tree(text, (40, 10)), P.structure_tree(text)
+    assert [(n.start, n.end, [x.end for x in n.parts]) for n in nested.parts] == [(1, 590, [210, 370, 590]), (591, 1230, [720, 890, 1230]), (1231, 1330, [])]
+    assert [n.end for n in flat.parts] == ends and not any(n.parts for n in flat.parts)
+    assert P.pack(flat, 730, 20) == [(1, 720), (701, 1330)]
+    assert P.pack(nested, 730, 20) == [(1, 590), (571, 1230), (1211, 1330)]  # the scaffolds stay whole
+    assert P.pack(nested, 500, 20) == [(1, 370), (351, 720), (701, 890), (871, 1330)]  # too long for a piece: descended into, and the rest merged on
+    assert P.pack(P.structure_tree("A" * 1000), 400, 50) == [(1, 400), (351, 750), (701, 1000)]
+    deep = P.Node(1, 900, [P.Node(1, 800, [P.Node(1, 100), P.Node(101, 700, [P.Node(101, 350), P.Node(351, 700)]), P.Node(701, 800)]), P.Node(801, 900)])
+    assert P.pack(deep, 400, 0) == [(1, 350), (351, 700), (701, 900)]
+
+
+def test_flat_packing_equals_the_rule_for_any_text():
+    rng = random.Random(8)
+    for _ in range(400):
+        x = "".join(rng.choice("ACGT") * rng.randint(1, 90) + "N" * rng.choice((0, 3, 5, 9, 30)) for _ in range(rng.randint(1, 25)))
+        limit = rng.randint(40, 400)
+        overlap = rng.randint(0, limit // 2)
+        ends = {m.end() for m in re.finditer("N{5,}", x)}
+        want, a = [], 1
+        while len(x) - a + 1 > limit:
+            e = max((g for g in ends if a + overlap <= g <= a + limit - 1), default=a + limit - 1)
+            want.append((a, e))
+            a = e - overlap + 1
+        want.append((a, len(x)))
+        assert P.pack(P.structure_tree(x, (5,)), limit, overlap) == want
+
+
 def test_split_empty(spark):
     assert P.split_sequences(spark.createDataFrame([], SCHEMA), "seq_id", "seq_data").collect() == []
 
