@@ -2,9 +2,10 @@
 
 Words are overlapping ``k``-letter windows, packed in one 64-bit code (two bits a
 letter).  A first pass finds the heavy words; their list is broadcast (its
-length is bounded, see HEAVY).  In the second pass each task counts heavy words in an exact local
-array, which it sends once, and pre-aggregates the others batch by batch; only
-those are shuffled word by word.  Both counts are exact, so which words are
+length is bounded, see HEAVY).  In the second pass each task counts heavy words in exact local
+arrays and sends these once, as one row; the other words it pre-aggregates.  The result of that pass is stored, as both
+kinds are read from it: only light words are shuffled word by word, the arrays of the
+heavy ones are summed place by place, and the two tables are put together.  Both counts are exact, so which words are
 heavy changes only the cost.
 """
 from __future__ import annotations
@@ -14,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from helixframe.llm.arrow import BASE, buffer_of, letters_only, row_of
+from helixframe.session import stored
 
 HEAVY = 4096         # words in the broadcast list at most, 32 KB
 HEAVY_SHARE = 1e-4   # a word above this share of a task's words is heavy there
+FLUSH = 4_000_000    # light words that a task holds before it sends them
 
 
 def word_codes(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,34 +62,72 @@ def heavy_words(texts: DataFrame, k: int) -> np.ndarray:
     return np.array(sorted(r[0] for r in found.orderBy(F.desc("n"), "code").limit(HEAVY).select("code").collect()), np.int64)
 
 
+def _sorted_counts(rows: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct codes, occurrences, rows) of one batch."""
+    bits = int(rows.max(initial=0)).bit_length()
+    if 2 * k + bits <= 63:
+        key = np.sort((codes << bits) | rows)
+        codes, new = key >> bits, np.concatenate([[True], key[1:] != key[:-1]])[:len(key)]
+    else:
+        order = np.lexsort((rows, codes))
+        rows, codes = rows[order], codes[order]
+        new = np.concatenate([[True], (codes[1:] != codes[:-1]) | (rows[1:] != rows[:-1])])[:len(codes)]
+    at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[:len(codes)])
+    if not len(at):
+        return codes, codes, codes
+    return codes[at], np.diff(np.append(at, len(codes))), np.add.reduceat(new.astype(np.int64), at)
+
+
+def _summed(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes, tf, df = (np.concatenate(x) for x in zip(*parts))
+    words, at = np.unique(codes, return_inverse=True)
+    return words, np.bincount(at, tf, len(words)).astype(np.int64), np.bincount(at, df, len(words)).astype(np.int64)
+
+
+_PART = "code long, tf long, df long, heavy binary"
+
+
 def _counts(k: int, heavy: np.ndarray):
-    def emit(codes, tf, df):
-        return pa.RecordBatch.from_pydict({"code": pa.array(codes, pa.int64()), "tf": pa.array(tf, pa.int64()), "df": pa.array(df, pa.int64())})
+    """Light words with their counts, and at the end of a task one row with the arrays of the heavy ones."""
+    def emit(codes, tf, df, arrays=None):
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (codes, tf, df)), pa.array([arrays] * len(codes), pa.binary())], ["code", "tf", "df", "heavy"])
 
     def run(batches):
-        tf_heavy, df_heavy = np.zeros(len(heavy), np.int64), np.zeros(len(heavy), np.int64)
+        counters = np.zeros((2, len(heavy)), np.int64)
+        held, size = [], 0
         for b in batches:
-            rows, codes = word_codes(b.column(0), k)
-            order = np.lexsort((rows, codes))
-            rows, codes = rows[order], codes[order]
-            new_code = np.ones(len(codes), bool)
-            new_code[1:] = codes[1:] != codes[:-1]
-            new_row = new_code.copy()
-            new_row[1:] |= rows[1:] != rows[:-1]
-            at = np.flatnonzero(new_code)
-            if not len(at):
-                continue
-            words, tf, df = codes[at], np.diff(np.append(at, len(codes))), np.add.reduceat(new_row.astype(np.int64), at)
-            if len(heavy):
+            words, tf, df = _sorted_counts(*word_codes(b.column(0), k), k)
+            if len(heavy) and len(words):
                 place = np.minimum(np.searchsorted(heavy, words), len(heavy) - 1)
-                is_heavy = heavy[place] == words
-                tf_heavy[place[is_heavy]] += tf[is_heavy]
-                df_heavy[place[is_heavy]] += df[is_heavy]
-                words, tf, df = words[~is_heavy], tf[~is_heavy], df[~is_heavy]
-            yield emit(words, tf, df)
-        seen = tf_heavy > 0
-        if seen.any():
-            yield emit(heavy[seen], tf_heavy[seen], df_heavy[seen])
+                hit = heavy[place] == words
+                counters[0, place[hit]] += tf[hit]
+                counters[1, place[hit]] += df[hit]
+                words, tf, df = words[~hit], tf[~hit], df[~hit]
+            held.append((words, tf, df))
+            size += len(words)
+            if size > FLUSH:
+                held = [_summed(held)]
+                size = len(held[0][0])
+                if size > FLUSH // 2:
+                    yield emit(*held[0])
+                    held, size = [], 0
+        if size:
+            yield emit(*_summed(held))
+        if counters.any():
+            yield emit([-1], [0], [0], counters.astype("<i8").tobytes())
+
+    return run
+
+
+def _heavy_sums(heavy: np.ndarray):
+    def run(batches):
+        total = np.zeros((2, len(heavy)), np.int64)
+        for b in batches:
+            for x in b.column(0):
+                total += np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1)
+        at = np.flatnonzero(total[0])
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(heavy[at]), pa.array(total[0, at]), pa.array(total[1, at])], ["code", "tf", "df"])
 
     return run
 
@@ -101,9 +142,14 @@ def term_counts(texts: DataFrame, text_col: str, k: int = 8) -> DataFrame:
     if not 1 <= k <= 31:
         raise ValueError("k must be 1 to 31")
     src = texts.select(F.col(text_col).alias("t"))
-    counts = src.mapInArrow(_counts(k, heavy_words(src, k)), "code long, tf long, df long")
+    heavy = heavy_words(src, k)
+    parts = stored(src.mapInArrow(_counts(k, heavy), _PART), "word-counts")
+    light = parts.where("code >= 0").groupBy("code").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    # one row for each task that read them, of at most 64 KB, so few rows meet in the second step
+    sums = parts.where("code < 0").select("heavy").mapInArrow(_heavy_sums(heavy), "code long, tf long, df long")
+    both = light.unionByName(sums.groupBy("code").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")))
     letters = [F.substring(F.lit("ACGT"), (F.shiftright("code", 2 * (k - 1 - i)).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1)) for i in range(k)]
-    return counts.groupBy("code").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).select(F.concat(*letters).alias("word"), "tf", "df")
+    return both.select(F.concat(*letters).alias("word"), "tf", "df")
 
 
 def marked_terms(texts: DataFrame, text_col: str, k: int = 8, rare_below: int = 3, common_above: float = 0.2) -> DataFrame:
