@@ -37,13 +37,37 @@ def test_replay_equals_word_by_word():
 
 
 @needs_vocabulary
-def test_small_cache_changes_nothing(monkeypatch):
+def test_small_cache_and_any_table_change_nothing(monkeypatch):
     path = os.path.join(B.VOCABULARY, "byte_bpe_50k.tiktoken")
     e = B.Encoder(path)
     want = [e.encode([t]).to_pylist() for t in WEIRD]
-    monkeypatch.setattr(B, "CACHE", 3)
+    names = ["x", "word", "\0a", "lead", ""]
+    ids = e.ids_of(["a" if c == "\0a" else " " + c for c in names])
+    table = (names, B.np.array([i for x in ids for i in x], B.np.int32), B.np.concatenate([[0], B.np.cumsum([len(x) for x in ids])]))
+    monkeypatch.setattr(B, "CACHE_BYTES", 300)
+    monkeypatch.setattr(B, "CHUNK_BYTES", 4)
+    for given in (None, table):
+        e = B.Encoder(path, given)
+        assert [e.encode([t]).to_pylist() for t in WEIRD] == want
+        assert e.encode(WEIRD).to_pylist() == [x[0] for x in want]
+
+
+@needs_vocabulary
+def test_memory_is_bounded_by_bytes():
+    path = os.path.join(B.VOCABULARY, "byte_bpe_50k.tiktoken")
     e = B.Encoder(path)
-    assert [e.encode([t]).to_pylist() for t in WEIRD] == want
+    for i in range(20):  # texts that can't be cut are not kept
+        e.encode([f"a \n \n b{i} " + "xyz " * 5000])
+    assert sum(map(len, e.chunk_no)) + 4 * len(e.flat) < 10_000 and sum(map(len, e.words)) < 10_000
+
+
+@needs_vocabulary
+def test_table_holds_the_frequent_chunks(spark, monkeypatch):
+    path = os.path.join(B.VOCABULARY, "byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([("the pump " * 9,), ("the valve valve",), (None,), ("a  b",)], "t string")
+    monkeypatch.setattr(B, "TABLE_ROWS", 2)
+    names, flat, starts = B.corpus_table(df, path)
+    assert names == ["pump", "the"] and list(B.np.diff(starts)) == [1, 1] and len(flat) == 2
 
 
 def shingles(t, n=12):
