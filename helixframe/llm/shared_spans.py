@@ -25,15 +25,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from helixframe.llm.arrow import BASE, buffer_of, letters_only
+from helixframe.kernels.arrow import pieces
+from helixframe.llm.arrow import BASE, letters_only
 from helixframe.llm.near_dup import mix
 from helixframe.llm.repeats import ONE, SEVERAL, Replies, by_task, numbered, repeated
 from helixframe.session import stored
 
 _ROWS = "id long, n int, codes binary, others binary, live binary, found binary"
+PIECE = 1 << 17  # letters that are worked on at a time; a longer record is one piece
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: byte -> its four letters
+_FOUR = ((np.arange(256, dtype=np.uint8)[:, None] >> np.array([6, 4, 2, 0], np.uint8)) & 3).astype(np.uint8)
+
+
 def levels(length: int) -> list[int]:
     """The lengths of the levels: halves of ``length`` down to below 32 letters, doubled again."""
     first = length
@@ -51,14 +57,6 @@ def _runs(on: np.ndarray) -> np.ndarray:
     return edge.astype("<i4")
 
 
-def _mask(spans, n: int) -> np.ndarray:
-    at = np.frombuffer(spans, "<i4").reshape(-1, 2)
-    on = np.zeros(n + 1, np.int32)
-    np.add.at(on, at[:, 0], 1)
-    np.add.at(on, at[:, 1], -1)
-    return np.cumsum(on)[:n] > 0
-
-
 class Text:
     """The records of a batch as one row of letters, each closed by a letter that no window crosses."""
 
@@ -74,11 +72,13 @@ class Text:
             x = np.frombuffer(codes.as_buffer(), np.uint8)
             at = int(self.offsets[k])
             here = self.base[at:at + n]
-            here[:] = ((x[:, None] >> np.array([6, 4, 2, 0], np.uint8)) & 3).ravel()[:n]
-            here[_mask(others.as_buffer(), n)] = 4
-            if live.is_valid:
-                self.live[at:at + n] = _mask(live.as_buffer(), n)
-                self.found[at:at + n] = _mask(found.as_buffer(), n)
+            here[:] = _FOUR[x].ravel()[:n]
+            for mask, value, spans in ((here, 4, others), (self.live[at:at + n], True, live), (self.found[at:at + n], True, found)):
+                if spans.is_valid:
+                    if mask is not here:
+                        mask[:] = False
+                    for a, z in np.frombuffer(spans.as_buffer(), "<i4").reshape(-1, 2).tolist():
+                        mask[a:z] = value
         self.live &= self.clean(length)
         self.row = np.repeat(np.arange(len(rows)), sizes + 1)
         self.hashes: dict[int, np.ndarray] = {}
@@ -185,9 +185,17 @@ def _stretch(text: Text, at: np.ndarray, starts: np.ndarray, index: np.ndarray)
     return (mix(g * _GOLD + x[first + size - k]) >> np.uint64(32)).astype(np.uint32)
 
 
+def _by_piece(batch: pa.RecordBatch):
+    """(p, row numbers) of a batch, in pieces whose arrays stay in the processor's cache."""
+    sizes = np.asarray(batch.column("n")).astype(np.int64)
+    for p, rows in by_task(batch):
+        for part in np.split(rows, np.flatnonzero(np.diff(np.cumsum(sizes[rows]) // PIECE)) + 1):
+            yield p, part
+
+
 def _ask(length: int, level: int):
     def hashes(batch):
-        for p, rows in by_task(batch):
+        for p, rows in _by_piece(batch):
             text = Text(batch, rows, length)
             _, starts, _, h, g = _pick(text, level)
             yield p, h, g, text.row[starts]
@@ -202,7 +210,7 @@ def _apply(length: int, level: int, folder: str):
     def run(batches):
         replies = Replies(folder)
         for b in batches:
-            for p, rows in by_task(b):
+            for p, rows in _by_piece(b):
                 text = Text(b, rows, length)
                 at, _, index, h, g = _pick(text, level)
                 if level == last:
@@ -227,17 +235,18 @@ def _packed(length: int):
     """The letters of each text long enough, two bits each, and the runs of letters other than A, C, G, T."""
     def run(batches):
         for b in batches:
-            data, offsets = letters_only(*buffer_of(b.column(1)))
-            base = BASE[data]
             keep, codes, others, sizes = [], [], [], []
-            for k, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                if z - a >= length:
-                    x = np.zeros(-(z - a) % 4 + z - a, np.uint8)
-                    x[:z - a] = base[a:z] & 3
-                    keep.append(k)
-                    sizes.append(z - a)
-                    codes.append(((x[0::4] << 6) | (x[1::4] << 4) | (x[2::4] << 2) | x[3::4]).tobytes())
-                    others.append(_runs(base[a:z] > 3).tobytes())
+            for first, data, offsets in pieces(b.column(1), PIECE):
+                data, offsets = letters_only(data, offsets)
+                base = BASE[data]
+                for k, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist()), first):
+                    if z - a >= length:
+                        x = np.zeros(-(z - a) % 4 + z - a, np.uint8)
+                        x[:z - a] = base[a:z] & 3
+                        keep.append(k)
+                        sizes.append(z - a)
+                        codes.append(((x[0::4] << 6) | (x[1::4] << 4) | (x[2::4] << 2) | x[3::4]).tobytes())
+                        others.append(_runs(base[a:z] > 3).tobytes())
             none = pa.nulls(len(keep), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int32()), pa.array(codes, pa.binary()), pa.array(others, pa.binary()), none, none], ["id", "n", "codes", "others", "live", "found"]
