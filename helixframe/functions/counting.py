@@ -126,33 +126,90 @@ def count_pattern(pattern: str, c, fixed: bool = True) -> Column:
     return F.regexp_count(col(c), F.lit(f"(?={re.escape(pattern) if fixed else ambiguity_regex(pattern)})"))
 
 
+def _places(texts, pattern: str, fixed: bool):
+    """Lists of the starts of all overlapping occurrences, from one pass over the buffer of a batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    from helixframe.kernels import search
+    from helixframe.kernels.arrow import pieces
+
+    counts, starts = [], []
+    for _, data, offsets in pieces(texts):
+        row, start = search.hamming(data, offsets, pattern, 0, 0, (True, True) if fixed else (False, False))
+        counts.append(np.bincount(row, minlength=len(offsets) - 1))
+        starts.append(start)
+    counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    values = np.concatenate(starts).astype(np.int32) if starts else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=texts.is_null())
+
+
 def match_starts(pattern: str, c, fixed: bool = True) -> Column:
-    """array of the starts of all overlapping occurrences."""
-    s = col(c)
-    k = len(pattern)
-    if k == 0:
+    """array of the starts of all overlapping occurrences; an Arrow kernel, linear in the text."""
+    if pattern == "":
         raise ValueError("the pattern is empty")
-    hit = (lambda i: s.substr(i, F.lit(k)) == pattern) if fixed else (lambda i: s.substr(i, F.lit(k)).rlike(f"^{ambiguity_regex(pattern)}$"))
-    return F.when(F.length(s) >= k, F.filter(F.sequence(F.lit(1), F.length(s) - k + 1), hit)).otherwise(F.when(s.isNotNull(), F.array().cast("array<int>")))
+    return F.arrow_udf(lambda texts: _places(texts, pattern, fixed), "array<int>")(col(c))
+
+
+def _common(a, b):
+    """Length of the common prefix of each pair of texts, in letters."""
+    import numpy as np
+    import pyarrow as pa
+
+    from helixframe.kernels.arrow import buffer_of
+
+    none = pa.compute.or_(a.is_null(), b.is_null())
+    out = np.zeros(len(a), np.int64)
+    (x, xo), (y, yo) = buffer_of(a), buffer_of(b)
+    size = np.minimum(np.diff(xo), np.diff(yo))
+    at, todo, step = np.zeros(len(a), np.int64), np.flatnonzero(size > 0), 64
+    while len(todo):  # blocks of growing size, of the texts that are still equal
+        n = np.minimum(size[todo] - at[todo], step)
+        begin = np.cumsum(n) - n
+        i = np.arange(int(n.sum())) + np.repeat(at[todo] - begin, n)
+        own = np.repeat(todo, n)
+        differ = np.flatnonzero(x[xo[own] + i] != y[yo[own] + i])
+        first = np.full(len(a), -1, np.int64)
+        first[own[differ][::-1]] = i[differ][::-1]
+        hit = first[todo] >= 0
+        at[todo] = np.where(hit, first[todo], at[todo] + n)
+        todo = todo[~hit & (at[todo] < size[todo])]
+        step *= 4
+    out[:] = at
+    if len(x) and x.max() > 127:  # letters, not bytes; a letter that differs in a later byte isn't common
+        whole = [len(x[o:o + n].tobytes().decode("utf-8", "ignore")) for o, n in zip(xo[:-1].tolist(), at.tolist())]
+        out[:] = whole
+    return pa.array(out.astype(np.int32), mask=np.asarray(none))
 
 
 def common_prefix(a, b) -> Column:
-    """Length of the common prefix."""
-    x, y = col(a), col(b)
-    n = F.least(F.length(x), F.length(y))
-    differ = F.filter(F.sequence(F.lit(1), n), lambda i: x.substr(i, F.lit(1)) != y.substr(i, F.lit(1)))
-    return F.when(n == 0, 0).otherwise(F.coalesce(F.array_min(differ) - 1, n))
+    """Length of the common prefix; an Arrow kernel, linear in the text."""
+    return F.arrow_udf(_common, "int")(col(a), col(b))
 
 
 def common_suffix(a, b) -> Column:
     return common_prefix(F.reverse(col(a)), F.reverse(col(b)))
 
 
-def palindrome_arm_length(c) -> Column:
-    """Letters of the left arm of a sequence that pairs with itself reversed (A-T, C-G) from both ends inwards."""
-    s = col(c)
-    half = F.floor(F.length(s) / 2).cast("int")
-    other = F.reverse(F.translate(s, "ACGT", "TGCA"))
-    pairs = lambda i: (s.substr(i, F.lit(1)) == other.substr(i, F.lit(1))) & s.substr(i, F.lit(1)).isin("A", "C", "G", "T", "-")
-    bad = F.filter(F.sequence(F.lit(1), half), lambda i: ~pairs(i))
-    return F.when(half == 0, 0).otherwise(F.coalesce(F.array_min(bad) - 1, half))
+def palindrome_arm_length(c, max_mismatch: int = 0, wobble: bool = False, kind: str = "DNA") -> Column:
+    """Letters of the left arm of a sequence that pairs with itself reversed (A-T, C-G) from both ends inwards.
+
+    The arm ends before the mismatch that is one too many.  ``kind`` B compares letters literally; ``wobble`` lets G pair with T and U.
+    """
+    def run(texts):
+        import numpy as np
+        import pyarrow as pa
+
+        from helixframe.kernels import search
+        from helixframe.kernels.arrow import buffer_of
+
+        return pa.array(search.arm_lengths(*buffer_of(texts), max_mismatch, wobble, kind).astype(np.int32), mask=np.asarray(texts.is_null()))
+
+    return F.arrow_udf(run, "int")(col(c))
+
+
+def palindrome_arms(c, **options) -> tuple[Column, Column]:
+    """(left arm, right arm) of a palindrome; options as for its length."""
+    s, n = col(c), palindrome_arm_length(c, **options)
+    return s.substr(F.lit(1), n), s.substr(F.length(s) - n + 1, n)

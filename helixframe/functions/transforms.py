@@ -206,9 +206,7 @@ def stack_strings(c, start, end, shift=0, left: str = " ", right: str = " ") ->
 
 def codons(c) -> Column:
     """array of whole codons; one or two letters at the end are left out."""
-    s = col(c)
-    n = F.floor(F.length(s) / 3).cast("int")
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(0), n - 1), lambda i: s.substr(3 * i + 1, F.lit(3)))).otherwise(F.when(s.isNotNull(), F.array().cast("array<string>")))
+    return F.regexp_extract_all(col(c), F.lit("(?s).{3}"), F.lit(0))
 
 
 def translate_codons(c, code: str = "1", no_init_codon: bool = False, if_fuzzy: str = "error") -> Column:

@@ -17,10 +17,23 @@ def kmers(df: DataFrame, id_col: str, seq_col: str, k: int, step: int = 1, bases
     """
     if not 1 <= k <= 15 or step < 1:
         raise ValueError("k must be 1 to 15, step at least 1")
-    s = F.col(seq_col)
-    starts = F.sequence(F.lit(1), F.length(s) - k + 1, F.lit(step))
-    words = F.filter(F.transform(starts, lambda i: s.substr(i, F.lit(k))), lambda w: F.translate(w, bases, "") == "")
-    return df.where(F.length(s) >= k).select(F.col(id_col), F.explode(words).alias("kmer"))
+    good = np.zeros(256, np.int64)
+    good[np.frombuffer(bases.encode(), np.uint8)] = 1
+
+    def run(batches):
+        for b in batches:
+            for first, data, offsets in pieces(b.column(1)):
+                n = max(len(data) - k + 1, 0)
+                sums, rows = np.concatenate([[0], np.cumsum(good[data])]), row_of(offsets)[:n]
+                at = np.arange(n)
+                at = at[(sums[k:k + n] - sums[:n] == k) & (at + k <= offsets[1:][rows]) & ((at - offsets[rows]) % step == 0)]
+                text = np.lib.stride_tricks.sliding_window_view(data, k)[at].tobytes() if len(at) else b""
+                words = pa.StringArray.from_buffers(len(at), pa.py_buffer((np.arange(len(at) + 1) * k).astype(np.int32)), pa.py_buffer(text))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[at] + first)), words], ["id", "kmer"])
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    src = df.where(F.length(seq_col) >= k).select(F.col(id_col).alias("id"), F.col(seq_col).alias("s"))
+    return src.mapInArrow(run, f"id {id_type}, kmer string").withColumnRenamed("id", id_col)
 
 
 def _counts(k: int, step: int, by_row: bool):

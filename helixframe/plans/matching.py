@@ -59,7 +59,7 @@ def m4ind(spark, d):
 
 @query("M4_match_tiled", sql(', w as (select seq_id, s, unnest(range(1, length(s) - 5)) as i from dna where length(s) >= 7) select seq_id as subject_id, i::int as start, (i + 6)::int as "end" from w where substr(s, i, 7) = \'ATTTCTT\'', DNA))
 def m4t(spark, d):
-    return M.match_pattern_tiled(dna(spark, d), "seq_id", "s", "ATTTCTT", core=500)
+    return M.match_pattern(dna(spark, d), "seq_id", "s", "ATTTCTT", tile=500)
 
 
 @query("M14_palindromes")
