@@ -127,8 +127,8 @@ def consensus_matrix(df: DataFrame, seq_col: str, shift_col: str | None = None,
     """
     shift = F.coalesce(F.col(shift_col), F.lit(0)) if shift_col else F.lit(0)
     src = df.where(F.col(seq_col).isNotNull()).select(shift.cast("long").alias("shift"), F.col(seq_col).alias("s"))
-    cells = src.mapInArrow(_letter_cells(width), "pos int, code int, n long").groupBy("pos", "code").agg(F.sum("n").alias("n"))
-    return cells.select("pos", F.char("code").alias("letter"), "n").where(F.col("letter").isin(*alphabet))
+    cells = src.mapInArrow(_letter_cells(width), "pos long, code int, n long").groupBy("pos", "code").agg(F.sum("n").alias("n"))
+    return cells.select(F.col("pos").cast("int").alias("pos"), F.char("code").alias("letter"), "n").where(F.col("letter").isin(*alphabet))
 
 
 def _letter_cells(width: int | None):
@@ -147,11 +147,31 @@ def _letter_cells(width: int | None):
                     n = n[cells]
                 else:
                     cells, n = np.unique(cell, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((cells // 128).astype(np.int32)), pa.array((cells % 128).astype(np.int32)), pa.array(n.astype(np.int64))], ["pos", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array((cells // 128).astype(np.int64)), pa.array((cells % 128).astype(np.int32)), pa.array(n.astype(np.int64))], ["pos", "code", "n"])
 
     return run
 
 
+def weight_matrices(df: DataFrame, seq_col: str, kind: str = "log2probratio", prior: dict[str, float] | None = None) -> DataFrame:
+    """``(width, pos, base, weight)``: unit-scaled weight matrices of the sequences, one for each width.
+
+    The counts of a place are smoothed by the prior (0.25 a base without one); ``kind`` is ``prob`` or ``log2probratio``.  Sequences with
+    other letters than bases aren't wanted: their columns would not sum up.  Null and empty sequences have no matrix.
+    """
+    prior = prior or dict.fromkeys(DNA_BASES, 0.25)
+    s, far = F.col(seq_col), 1 << 20
+    src = df.where(s != "").select(F.length(s).cast("long").alias("width"), s.alias("s"))
+    # the width stands in the upper bits of the place, so one matrix of counts holds all widths
+    cells = src.select((F.col("width") * far).alias("shift"), "s").mapInArrow(_letter_cells(None), "pos long, code int, n long").groupBy("pos", "code").agg(F.sum("n").alias("n"))
+    by_place = cells.groupBy("pos").agg(F.sum("n").alias("total"), *[F.coalesce(F.sum(F.when(F.col("code") == ord(b), F.col("n"))), F.lit(0)).alias(b) for b in DNA_BASES])
+    weights, every = F.create_map(*[x for b in DNA_BASES for x in (F.lit(b), F.lit(float(prior[b])))]), float(sum(prior.values()))
+    rows = by_place.select(F.floor(F.col("pos") / far).cast("int").alias("width"), (F.col("pos") % far).cast("int").alias("pos"), "total", F.inline(F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("n")) for b in DNA_BASES])))
+    post = (F.col("n") + weights[F.col("base")]) / (F.col("total") + every)
+    w = rows.withColumn("w", post if kind == "prob" else F.log2(post / (weights[F.col("base")] / every)))
+    ends = w.groupBy("width", "pos").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).groupBy("width").agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    return w.join(ends, "width").select("width", "pos", "base", ((F.col("w") - F.col("lo") / F.col("width")) / (F.col("hi") - F.col("lo"))).alias("weight"))
+
+
 def consensus_string(matrix: DataFrame, threshold: float = 0.25, ambiguity: bool = True) -> DataFrame:
     """``(pos, letter)`` of a consensus matrix.
 

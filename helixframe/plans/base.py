@@ -23,15 +23,15 @@ def reads(spark, d) -> DataFrame:
 
 
 def patterns(spark, d) -> DataFrame:
-    """``(pattern_id, p, tb_start, tb_width)``: patterns without ambiguity letters."""
-    return table(spark, d, "motif_dict").where("pattern is not null").select("pattern_id", ascii_upper("pattern").alias("p"), "tb_start", "tb_width").where(F.translate("p", "ACGT", "") == "")
+    """``(pattern_id, p, tb_start, tb_width)``: all patterns; ambiguity letters stand for themselves unless an operator is told otherwise."""
+    return table(spark, d, "motif_dict").where("pattern is not null").select("pattern_id", ascii_upper("pattern").alias("p"), "tb_start", "tb_width")
 
 
 _UP = f"'{LOWER}', '{UPPER}'"
 DNA = f"dna as (select seq_id, translate(regexp_replace(seq_data, '[^A-Za-z]', '', 'g'), {_UP}) as s from fasta_seqs where seqtype = 'DNA' and seq_data is not null)"
 RECORDS = f"records as (select seq_id, seqtype, translate(regexp_replace(seq_data, '[^A-Za-z]', '', 'g'), {_UP}) as s from fasta_seqs where seq_data is not null)"
 READS = f"reads as (select seq_id, translate(seq_data, {_UP}) as s, qual_data as q, qscale from fastq_reads where seq_data is not null)"
-PATTERNS = f"patterns as (select pattern_id, translate(pattern, {_UP}) as p, tb_start, tb_width from motif_dict where pattern is not null and translate(translate(pattern, {_UP}), 'ACGT', '') = '')"
+PATTERNS = f"patterns as (select pattern_id, translate(pattern, {_UP}) as p, tb_start, tb_width from motif_dict where pattern is not null)"
 
 
 def sql(body: str, *ctes: str) -> str:

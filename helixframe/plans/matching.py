@@ -4,6 +4,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from helixframe.alphabets import IUPAC_CODE_MAP
 from helixframe.operators import dictionary as D, intervals as I, kmers as K, matching as M
 from helixframe.plans.base import DNA, PATTERNS, READS, dna, patterns, reads, sql
 from helixframe.session import table
@@ -62,12 +63,17 @@ def m4t(spark, d):
     return M.match_pattern(dna(spark, d), "seq_id", "s", "ATTTCTT", tile=500)
 
 
-@query("M14_palindromes")
+@query("M14_palindromes", sql(""", c as (select seq_id, s, unnest(range(1, length(s) + 1)) as i from reads), p as (select seq_id, i, j from (select seq_id, s, i, unnest(range(i + 1, length(s) + 1)) as j from c)
+   where (substr(s, i, 1), substr(s, j, 1)) in (('A', 'T'), ('T', 'A'), ('A', 'U'), ('U', 'A'), ('C', 'G'), ('G', 'C'), ('-', '-'))),
+ g as (select seq_id, i, j, i + j as centre, j - row_number() over (partition by seq_id, i + j order by j) as run from p)
+ select seq_id as subject_id, min(i)::int as start, max(j)::int as "end" from g group by seq_id, centre, run having count(*) >= 5 and min(j - i - 1) <= 6""", READS))
 def m14(spark, d):
     return M.palindromes(reads(spark, d), "seq_id", "s", min_arm=5, max_loop=6)
 
 
-@query("M17_partial_matches")
+@query("M17_partial_matches", sql(""", c as (select seq_id, s, unnest(range(1, length(s) + 1)) as j from reads), m as (select seq_id, j, i from (select seq_id, s, j, unnest(range(1, 21)) as i from c) where substr(s, j, 1) = substr('GATTACAGGCTTAACCGGAT', i, 1)),
+ g as (select *, j - row_number() over (partition by seq_id, j - i order by j) as run from m), r as (select seq_id, min(i) as pa, max(i) as pz, min(j) as sa, max(j) as sz from g group by seq_id, j - i, run),
+ o as (select *, row_number() over (partition by seq_id order by sz - sa desc, sa, pa) as k from r) select seq_id as subject_id, pa::int as p_start, pz::int as p_end, sa::int as s_start, sz::int as s_end from o where k <= 3""", READS))
 def m17(spark, d):
     return M.partial_matches(reads(spark, d), "seq_id", "s", "GATTACAGGCTTAACCGGAT", 3)
 
@@ -122,17 +128,15 @@ def m21s(spark, d):
     return M.pwm_score_at(dna(spark, d), "seq_id", "s", _PWM, [3, 50]).withColumn("score", F.round("score", 9))
 
 
-@query("M20_pwm_of_reads")
+@query("M20_pwm_of_reads", sql(""", r as (select s, length(s) as width from reads where s <> '' and translate(s, 'ACGT', '') = ''), c as (select width, substr(s, i, 1) as base, i as pos from (select *, unnest(range(1, width + 1)) as i from r)),
+ n as (select width, count(*) as n from r group by width), x as (select width, pos, b.base, (select 1) from (select width, unnest(range(1, width + 1)) as pos from n), (select unnest(['A', 'C', 'G', 'T']) as base) b),
+ k as (select x.width, x.pos, x.base, count(c.base) as k from x left join c on c.width = x.width and c.pos = x.pos and c.base = x.base group by all), w as (select width, pos, base, ln((k + 0.25) / (n + 1) / 0.25) / ln(2) as w from k join n using (width)),
+ e as (select width, sum(lo) as lo, sum(hi) as hi from (select width, pos, min(w) as lo, max(w) as hi from w group by all) group by width)
+ select width::int as width, pos::int as pos, base, round((w - lo / width) / (hi - lo), 9) as weight from w join e using (width)""", READS))
 def m20(spark, d):
-    """The weight matrix of the first ten letters of all reads without other letters than bases, as (pos, base, weight)."""
-    from helixframe.kernels.matching import pwm_from_counts
-
-    heads = reads(spark, d).select(F.substring("s", 1, 10).alias("s")).where("length(s) = 10 and translate(s, 'ACGT', '') = ''")
-    counts = np.zeros((4, 10))
-    for r in K.consensus_matrix(heads, "s", width=10).collect():  # 40 cells
-        counts["ACGT".index(r["letter"]), r["pos"] - 1] = r["n"]
-    w = pwm_from_counts(counts) if counts.any() else counts
-    return spark.createDataFrame([(j + 1, b, float(w[i, j])) for i, b in enumerate("ACGT") for j in range(10)], "pos int, base string, weight double")
+    """The weight matrices of all reads without other letters than bases, one for each width."""
+    r = reads(spark, d).where("s <> '' and translate(s, 'ACGT', '') = ''")
+    return K.weight_matrices(r, "s").withColumn("weight", F.round("weight", 9))
 
 
 # ---- dictionaries -----------------------------------------------------------
@@ -153,16 +157,54 @@ def m10(spark, d):
     return _matches(spark, d)
 
 
-@query("M10_match_dict_mm1")
+_NEAR = """, t as (select seq_id, '.' || s || '.' as s from reads), k as (select distinct length(p) as k from patterns),
+ w as (select seq_id, k, i - 1 as st, substr(s, i, k) as w from (select seq_id, s, k, unnest(range(1, length(s) - k + 2)) as i from t, k where length(s) >= k))"""
+
+
+@query("M10_match_dict_mm1", sql(_NEAR + """, q as (select pattern_id, p, length(p) as k, length(p) // 2 as h from patterns), c as (
+  select pattern_id, seq_id, st, w, p, q.k from w join q on w.k = q.k and substr(w, 1, h) = substr(p, 1, h)
+  union select pattern_id, seq_id, st, w, p, q.k from w join q on w.k = q.k and substr(w, h + 1) = substr(p, h + 1))
+ select pattern_id, seq_id as subject_id, st::int as start, (st + k - 1)::int as "end" from c where hamming(w, p) <= 1""", READS, PATTERNS))
 def m10mm(spark, d):
     """Pigeonhole bands: two halves of each pattern, one of which matches exactly."""
     return D.match_dictionary(_dict(spark, d), reads(spark, d), "seq_id", "s", max_mismatch=1)
 
 
-@query("M9_trusted_band")
+def _banded(spark, d):
+    """The patterns whose trusted band is inside and plain, as it has to be; their flanks may hold ambiguity letters."""
+    p = _dict(spark, d).where("tb_start >= 1 and tb_width >= 1 and tb_start + tb_width - 1 <= length(pattern)")
+    return p.where(F.translate(F.col("pattern").substr(F.col("tb_start"), F.col("tb_width")), "ACGT", "") == "")
+
+
+_BANDED = "tb as (select *, substr(p, tb_start, tb_width) as band from patterns where tb_start >= 1 and tb_width >= 1 and tb_start + tb_width - 1 <= length(p) and translate(substr(p, tb_start, tb_width), 'ACGT', '') = '')"
+
+
+@query("M9_trusted_band", sql(_NEAR + ", " + _BANDED + """ select pattern_id, seq_id as subject_id, st::int as start, (st + k - 1)::int as "end"
+ from w join tb on w.k = length(p) and substr(w.w, tb_start, tb_width) = band where hamming(w.w, p) <= 1""", READS, PATTERNS))
 def m9(spark, d):
     """Mismatches outside the trusted band only."""
-    return D.match_dictionary(_dict(spark, d), reads(spark, d), "seq_id", "s", 1, "tb_start", "tb_width")
+    return D.match_dictionary(_banded(spark, d), reads(spark, d), "seq_id", "s", 1, "tb_start", "tb_width")
+
+
+@query("M10_ambiguous_patterns", sql(""", k as (select distinct length(p) as k from patterns), w as (select seq_id, k, i as st, substr(s, i, k) as w from (select seq_id, s, k, unnest(range(1, length(s) - k + 2)) as i from reads, k where length(s) >= k)),
+ q as (select pattern_id, p, length(p) as k, regexp_extract(p, '^[ACGT]*') as head from patterns where translate(p, 'ACGT', '') <> '')
+ select q.pattern_id, seq_id as subject_id, st::int as start, (st + q.k - 1)::int as "end" from w join q on w.k = q.k and starts_with(w.w, head)
+ where list_bool_and(list_transform(range(1, q.k + 1), lambda i: contains(case substr(q.p, i, 1) """ + " ".join(f"when '{k}' then '{v}'" for k, v in IUPAC_CODE_MAP.items()) + """ else substr(q.p, i, 1) end, substr(w.w, i, 1))))""", READS, PATTERNS))
+def m10a(spark, d):
+    """Ambiguity letters of the patterns stand for their bases; those of the reads match only what includes them."""
+    p = _dict(spark, d).where(F.translate("pattern", "ACGT", "") != "")
+    return D.match_dictionary(p, reads(spark, d), "seq_id", "s", fixed=(False, True))
+
+
+@query("M10_match_dict35", sql(""", q as (select min(seq_id) as pattern_id, substr(s, 1, 35) as p from reads where length(s) >= 35 and translate(substr(s, 1, 35), 'ACGT', '') = '' group by 2),
+ w as (select seq_id, i, substr(s, i, 35) as w from (select seq_id, s, unnest(range(1, length(s) - 33)) as i from reads where length(s) >= 35))
+ select pattern_id, seq_id as subject_id, i::int as start, (i + 34)::int as "end" from w join q on w = p""", READS))
+def m10w(spark, d):
+    """A dictionary of 35-mers: how all reads begin, looked up in all reads."""
+    r = reads(spark, d)
+    head = F.substring("s", 1, 35)
+    p = r.where((F.length("s") >= 35) & (F.translate(head, "ACGT", "") == "")).groupBy(head.alias("pattern")).agg(F.min("seq_id").alias("pattern_id")).select("pattern_id", "pattern")
+    return D.match_dictionary(p, r, "seq_id", "s")
 
 
 @query("M11_vcount", sql(_DM + " select pattern_id, subject_id, count(*) as n from m group by all", READS, PATTERNS))
@@ -201,12 +243,12 @@ def a15d(spark, d):
     return D.dedup_patterns(patterns(spark, d), "pattern_id", "p")[1]
 
 
-@query("M24_probe_variants", sql("select pattern_id, seq_id from patterns, reads where length(p) = 25 and (contains(s, p) or contains(s, substr(p, 1, 12) || translate(substr(p, 13, 1), 'ACGT', 'TGCA') || substr(p, 14)))", READS, PATTERNS))
+@query("M24_probe_variants", sql(", m as (select pattern_id, p, (length(p) + 1) // 2 as c from patterns) select distinct pattern_id, seq_id from m, reads where contains(s, p) or contains(s, substr(p, 1, c - 1) || translate(substr(p, c, 1), 'ACGT', 'TGCA') || substr(p, c + 1))", READS, PATTERNS))
 def m24(spark, d):
     """Probes as they are, or with their middle base complemented: two exact dictionaries."""
-    p = _dict(spark, d).where("length(pattern) = 25").select("pattern_id", "pattern")
-    middle = F.concat(F.substring("pattern", 1, 12), F.translate(F.substring("pattern", 13, 1), "ACGT", "TGCA"), F.substring("pattern", 14, 12))
-    both = p.unionByName(p.withColumn("pattern", middle))
+    p = _dict(spark, d).where("pattern <> ''").select("pattern_id", "pattern", F.floor((F.length("pattern") + 1) / 2).cast("int").alias("c"))
+    middle = F.concat(F.expr("substr(pattern, 1, c - 1)"), F.translate(F.expr("substr(pattern, c, 1)"), "ACGT", "TGCA"), F.expr("substr(pattern, c + 1)"))
+    both = p.select("pattern_id", "pattern").unionByName(p.select("pattern_id", middle.alias("pattern")))
     return D.match_dictionary(both, reads(spark, d), "seq_id", "s").select("pattern_id", F.col("subject_id").alias("seq_id")).distinct()
 
 

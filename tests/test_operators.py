@@ -52,6 +52,42 @@ def test_dictionary(spark, fixture, monkeypatch, k, banded, broadcast):
     assert len(got) == len(set(got)) and set(got) == brute(subjects, patterns, k, (2, 4) if banded else None)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_dictionary_of_wide_and_ambiguous_patterns(spark, monkeypatch, broadcast):
+    """Any width; ambiguity letters stand for themselves or for their bases; in a trusted band they are an error."""
+    if not broadcast:
+        monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    rng = random.Random(12)
+    subjects = ["".join(rng.choices("ACGT", k=120)) for _ in range(12)] + ["ACGNT" * 8, "", None]
+    wide = [s[10:45] for s in subjects[:5]] + [subjects[5][:80], "ACG" + subjects[6][3:38]]
+    odd = [subjects[7][:20] + "N" + subjects[7][21:36], "R" + subjects[8][1:30], "ACGNTACGN"]
+    d = spark.createDataFrame(list(enumerate(wide + odd, 1)), "pattern_id long, pattern string")
+    x = seqs(spark, subjects)
+    from helixframe.kernels.matching import match_hamming
+
+    for k, fixed in ((0, (True, True)), (1, (True, True)), (2, (True, True)), (0, (False, True))):
+        want = sorted((i, j, a, a + len(p) - 1) for i, p in enumerate(wide + odd, 1) for j, s in enumerate(subjects, 1) if s is not None for a in match_hamming(p, s, k, 0, fixed))
+        assert rows(D.match_dictionary(d, x, "seq_id", "s", k, fixed=fixed)) == want and want
+    banded = d.selectExpr("pattern_id", "pattern", "2 as a", "20 as w")
+    with pytest.raises(Exception, match="trusted band"):
+        D.match_dictionary(banded, x, "seq_id", "s", 1, "a", "w").collect()
+    flanks = banded.where("pattern_id not in (8, 10)")
+    assert {r["pattern_id"] for r in D.match_dictionary(flanks, x, "seq_id", "s", 1, "a", "w", fixed=(False, True)).collect()} == {1, 2, 3, 4, 5, 6, 9}
+    views = spark.createDataFrame([(1, 5, 60), (2, 12, 60)], "subject_id long, start int, end int")
+    assert rows(D.match_dictionary(d, x, "seq_id", "s", ranges=views)) == [(1, 1, 11, 45)]
+
+
+def test_dictionary_with_indels_and_ambiguous_subjects(spark):
+    from helixframe.kernels.matching import match_hamming, match_indels
+
+    subjects, patterns = ["ACGTTACGNNT", "TTTACGACG", "", None], ["ACG", "ACT", "GTN"]
+    d = spark.createDataFrame(list(enumerate(patterns, 1)), "pattern_id long, pattern string")
+    want = sorted((i, j, *m) for i, p in enumerate(patterns, 1) for j, s in enumerate(subjects, 1) if s for m in match_indels(p, s, 1))
+    assert rows(D.match_dictionary(d, seqs(spark, subjects), "seq_id", "s", 1, indels=True)) == want
+    want = sorted((i, j, a, a + 2) for i, p in enumerate(patterns, 1) for j, s in enumerate(subjects, 1) if s for a in match_hamming(p, s, 0, 0, (False, False)))
+    assert rows(D.match_dictionary(d, seqs(spark, subjects), "seq_id", "s", fixed=(False, False))) == want
+
+
 def test_dictionary_examples_and_empty(spark):
     words = spark.createDataFrame(list(enumerate(("AA", "AT", "TA", "TT"), 1)), "pattern_id long, pattern string")
     m = D.match_dictionary(words, seqs(spark, ["ATTATTAATTAA"]), "seq_id", "s")
