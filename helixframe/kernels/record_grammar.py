@@ -2,30 +2,39 @@
 
 Pure Python, no Spark.  A rule either returns what it read or raises
 :class:`Broken`, which carries the reason and the place (1-based line and
-column in the text as delivered).  :func:`parse_record` reads a text that holds
-one record.  :func:`parse_stream` reads a text of many records: after a broken
-record it goes on at the next record start, and every line belongs to a record
-or an error, so a quote that is never closed costs one record and not the rest
-of the file.
+column in the text as delivered).  What fields look like is given by a :class:`RecordSchema`.
+:func:`parse_record` reads a text that holds one record, :func:`parse_frame` the same with
+recovery of valid records inside a broken text, :func:`parse_stream` a text of many records.
 """
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
 
-# Fixed values of the record formats.
-DNA_LETTERS = frozenset("ACGTMRWSYKVHDBN-+." + "acgtmrwsykvhdbn")
-ROMAN_CHROMOSOMES = ("I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV", "XVI")
-STRANDS = ("direct", "reverse complement")
-ORF_CLASSES = ("Verified ORF", "Uncharacterized ORF", "Dubious ORF")
-
 BLANK = " \t"
-_INSTRUMENT = re.compile(r"[A-Za-z0-9_-]+")
-_DIGITS = re.compile(r"[0-9]+")
-_NAMES = re.compile(r"[A-Z0-9-]+ [A-Z0-9]+ XDB:S[0-9]{9}")
-_PLACE = re.compile(rf"Chr (?:{'|'.join(ROMAN_CHROMOSOMES)}) from [1-9][0-9]*-[1-9][0-9]*")
 _NOT_QUALITY = re.compile(r"[^!-~]")
-_NOT_DNA = re.compile("[^" + re.escape("".join(sorted(DNA_LETTERS))) + "]")
+_SEQUENCE = re.compile(r"[A-Za-z*.+-]+")
+
+
+@dataclass(frozen=True)
+class RecordSchema:
+    """What the fields of a record have to look like; patterns match a whole field, null takes anything.
+
+    ``letters`` is the alphabet of FASTQ reads, in the cases that are allowed.
+    """
+    letters: str
+    seqid_parts: tuple[str | None, ...]
+    desc_fields: tuple[str | None, ...]
+
+    def compiled(self) -> "_Rules":
+        return _Rules(re.compile("[^" + re.escape("".join(sorted(set(self.letters)))) + "]"), *([p and re.compile(p) for p in x] for x in (self.seqid_parts, self.desc_fields)))
+
+
+@dataclass(frozen=True)
+class _Rules:
+    not_letter: re.Pattern
+    seqid: list
+    desc: list
 
 
 class Broken(Exception):
@@ -61,27 +70,26 @@ def logical_lines(text: str) -> list[tuple[int, str]]:
 
 # ---- FASTQ -------------------------------------------------------------
 
-def seqid(line: tuple[int, str]) -> str:
-    """seqid := instrument ':' lane ':' digits ':' digits ':' digits, up to the first blank."""
+def seqid(line: tuple[int, str], rules: _Rules) -> str:
+    """seqid := part ( ':' part )*, up to the first blank."""
     no, text = line
     body = text[1:]
     end = next((i for i, c in enumerate(body) if c in BLANK), len(body))
     name = body[:end]
     parts = name.split(":")
-    if len(parts) != 5:
+    if len(parts) != len(rules.seqid):
         raise Broken("seqid_fields", no, 2, f"{len(parts)} parts")
     at = 2
-    for k, part in enumerate(parts):
-        good = _INSTRUMENT.fullmatch(part) if k == 0 else (len(part) == 1 and part in "12345678") if k == 1 else _DIGITS.fullmatch(part)
-        if not good:
+    for k, (part, rule) in enumerate(zip(parts, rules.seqid)):
+        if rule and not rule.fullmatch(part):
             raise Broken("seqid_value", no, at, f"part {k + 1}")
         at += len(part) + 1
     return name
 
 
-def letters(line: tuple[int, str]) -> str:
+def letters(line: tuple[int, str], rules: _Rules) -> str:
     no, text = line
-    if bad := _NOT_DNA.search(text):
+    if bad := rules.not_letter.search(text):
         raise Broken("seq_letters", no, bad.start() + 1)
     return text
 
@@ -95,15 +103,15 @@ def quality(line: tuple[int, str], width: int) -> str:
     return text
 
 
-def fastq_record(lines: list[tuple[int, str]]) -> Record:
+def fastq_record(lines: list[tuple[int, str]], rules: _Rules) -> Record:
     """record := '@' seqid rest / letters / '+' rest / quality"""
     if len(lines) != 4:
         raise Broken("line_count", lines[-1][0] if lines else 1, 1, f"{len(lines)} lines")
     for k, mark in ((0, "@"), (2, "+")):
         if not lines[k][1].startswith(mark):
             raise Broken("markup", lines[k][0], 1, f"expected {mark}")
-    name = seqid(lines[0])
-    seq = letters(lines[1])
+    name = seqid(lines[0], rules)
+    seq = letters(lines[1], rules)
     return Record("fastq", name, seq, quality(lines[3], len(seq)), line=lines[0][0])
 
 
@@ -166,86 +174,110 @@ def desc_fields(text: str, line: int = 1, shift: int = 2) -> list[tuple[str, int
         c.at += 1  # the comma
 
 
-def fasta_head(line: tuple[int, str]) -> list[str]:
+def fasta_head(line: tuple[int, str], rules: _Rules) -> list[str]:
     no, text = line
     if not text.startswith(">"):
         raise Broken("markup", no, 1, "expected >")
     fields = desc_fields(text[1:], no)
-    if len(fields) != 5:
+    if len(fields) != len(rules.desc):
         raise Broken("desc_fields", no, fields[-1][1], f"{len(fields)} fields")
-    (f1, c1), (f2, c2), (f3, c3), (f4, c4), _ = fields
-    for good, col, k in ((_NAMES.fullmatch(f1), c1, 1), (_PLACE.fullmatch(f2), c2, 2), (f3 in STRANDS, c3, 3), (f4 in ORF_CLASSES, c4, 4)):
-        if not good:
+    for k, ((value, col), rule) in enumerate(zip(fields, rules.desc), 1):
+        if rule and not rule.fullmatch(value):
             raise Broken("desc_value", no, col, f"field {k}")
     return [f for f, _ in fields]
 
 
-def fasta_record(lines: list[tuple[int, str]]) -> Record:
+def fasta_record(lines: list[tuple[int, str]], rules: _Rules) -> Record:
     """record := '>' desc / sequence line*; lines that begin with ';' are comments."""
     lines = [x for x in lines if not x[1].startswith(";")]
     if not lines:
         raise Broken("markup", 1, 1, "no line")
-    fields = fasta_head(lines[0])
+    fields = fasta_head(lines[0], rules)
     return Record("fasta", lines[0][1][1:], "".join(t for _, t in lines[1:]), fields=fields, line=lines[0][0])
 
 
 _RULES = {"fastq": fastq_record, "fasta": fasta_record}
 
 
-def parse_record(fmt: str, text: str | None) -> Record | Broken:
+def parse_record(fmt: str, text: str | None, rules: _Rules) -> Record | Broken:
     """One record, or the located error that breaks it.  A null text counts as an empty one."""
     try:
-        return _RULES[fmt](logical_lines(text or ""))
+        return _RULES[fmt](logical_lines(text or ""), rules)
     except Broken as e:
         return e
 
 
-# ---- many records in one text -------------------------------------------
+# ---- recovery -----------------------------------------------------------
 
 def _starts(fmt: str, lines: list[tuple[int, str]], i: int) -> bool:
-    """A record may start here: FASTA a '>' line; FASTQ an '@' line whose next-but-one begins with '+'.
+    """Whether line i is a validated record start: its mark, and behind it what a record has there.
 
-    A FASTQ quality line may begin with '@' too, so the mark alone is no proof.
+    FASTA: a '>' line, and the next line holds letters only, or is a '>' line, or there is none.  FASTQ: an '@' line whose
+    next-but-one begins with '+' (a quality line may begin with '@' too, so the mark alone is no proof).
     """
     if fmt == "fasta":
-        return lines[i][1].startswith(">")
+        return lines[i][1].startswith(">") and (i + 1 == len(lines) or lines[i + 1][1].startswith(">") or bool(_SEQUENCE.fullmatch(lines[i + 1][1])))
     return lines[i][1].startswith("@") and i + 2 < len(lines) and lines[i + 2][1].startswith("+")
 
 
-def _block_end(lines: list[tuple[int, str]], i: int) -> int:
-    """Where the broken FASTQ block at i ends: at the next line that may start a record, or behind
-    four lines if it has its marks, else at an '@' line behind them."""
-    whole = _starts("fastq", lines, i)
+def _record_end(fmt: str, lines: list[tuple[int, str]], i: int) -> int:
+    """Where a record that starts at i should end."""
+    if fmt == "fastq":
+        return min(i + 4, len(lines))
+    j = i + 1
+    while j < len(lines) and not lines[j][1].startswith(">"):
+        j += 1
+    return j
+
+
+def _block_end(fmt: str, lines: list[tuple[int, str]], i: int) -> int:
+    """Where the broken block at i ends: at the next validated record start; in FASTQ also behind
+    four lines if the block has its marks, else at an '@' line behind them."""
+    whole = _starts(fmt, lines, i)
     j = i + 1
     while j < len(lines):
-        if _starts("fastq", lines, j) or (j - i >= 4 and (whole or lines[j][1].startswith("@"))):
+        if _starts(fmt, lines, j) or fmt == "fastq" and j - i >= 4 and (whole or lines[j][1].startswith("@")):
             break
         j += 1
     return j
 
 
-def parse_stream(fmt: str, text: str | None):
-    """Yield a Record or a Broken for each record of a longer text; every line belongs to one of them.
-
-    After an error in FASTQ a new block begins at an '@' line whose next-but-one
-    begins with '+', even if its seqid is bad, behind four lines that have their
-    marks, and at an '@' line behind four others.
-    """
-    lines = logical_lines(text or "")
-    if fmt == "fasta":
-        lines = [x for x in lines if not x[1].startswith(";")]
+def _stream(fmt: str, lines: list[tuple[int, str]], rules: _Rules):
     i = 0
     while i < len(lines):
-        if fmt == "fasta":
-            j = i + 1
-            while j < len(lines) and not _starts(fmt, lines, j):
-                j += 1
-        else:
-            j = min(i + 4, len(lines))
+        j = _record_end(fmt, lines, i)
         try:
-            yield _RULES[fmt](lines[i:j])
+            yield _RULES[fmt](lines[i:j], rules)
         except Broken as e:
             yield e
-            if fmt == "fastq":
-                j = _block_end(lines, i)
+            j = _block_end(fmt, lines, i)
         i = j
+
+
+def _content(fmt: str, text: str | None) -> list[tuple[int, str]]:
+    lines = logical_lines(text or "")
+    return [x for x in lines if not x[1].startswith(";")] if fmt == "fasta" else lines
+
+
+def parse_stream(fmt: str, text: str | None, rules: _Rules):
+    """Yield a Record or a Broken for each record of a longer text; every line belongs to one of them.
+
+    After an error the parser goes on at the next validated record start, so a quote that is never closed costs one
+    record and not the rest of the file.  In FASTQ a new block begins also behind four lines that have their
+    marks, and at an '@' line behind four others.
+    """
+    return _stream(fmt, _content(fmt, text), rules)
+
+
+def parse_frame(fmt: str, text: str | None, rules: _Rules):
+    """Yield what a text that should hold one record gives: the record, or first the error that breaks it and
+    then the valid records that start at validated anchors behind or at the place where it broke.
+    """
+    whole = parse_record(fmt, text, rules)
+    yield whole
+    if isinstance(whole, Broken):
+        lines = _content(fmt, text)
+        first = next((i for i in range(len(lines)) if _starts(fmt, lines, i)), len(lines))
+        for item in _stream(fmt, lines[first:], rules):
+            if isinstance(item, Record):
+                yield item

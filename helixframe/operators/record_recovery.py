@@ -2,34 +2,37 @@
 
 The records go through the recursive-descent grammar in
 :mod:`helixframe.kernels.record_grammar` batch by batch (Arrow in, Arrow out);
-there is no shuffle, so the cost is one pass over the text.
+there is no shuffle, so the cost is one pass over the text.  After an error the parser resumes at the next validated record start.
 """
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from helixframe.kernels.record_grammar import RecordSchema
 from helixframe.session import spread
 
 RECORD_SCHEMA = (
-    "record_no int, fmt string, ok boolean, name string, seq string, qual string, "
+    "record_no int, fmt string, ok boolean, recovered boolean, name string, seq string, qual string, "
     "fields array<string>, reason string, error_line int, error_col int, error_detail string"
 )
+_TYPES = [pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string()]
 
 
-def _row(no: int, fmt: str, item) -> tuple:
+def _row(no: int, fmt: str | None, item, recovered: bool) -> tuple:
     from helixframe.kernels.record_grammar import Record
 
     if isinstance(item, Record):
-        return (no, fmt, True, item.name, item.seq, item.qual, item.fields or None, None, None, None, None)
-    return (no, fmt, False, None, None, None, None, item.reason, item.line, item.col, item.detail or None)
+        return (no, fmt, True, recovered, item.name, item.seq, item.qual, item.fields or None, None, None, None, None)
+    return (no, fmt, False, False, None, None, None, None, item.reason, item.line, item.col, item.detail or None)
 
 
-def parse_records(df: DataFrame, id_col: str = "raw_id", fmt_col: str = "fmt", text_col: str = "raw_text", many: bool = False) -> DataFrame:
+def parse_records(df: DataFrame, schema: RecordSchema, id_col: str = "raw_id", fmt_col: str = "fmt", text_col: str = "raw_text", many: bool = False) -> DataFrame:
     """One row per record: typed fields where it is valid, reason and place of the error where not.
 
-    ``many=False``: each text holds one record.  ``many=True``: a text may hold
-    any number; after a broken one the parser goes on at the next record
+    ``many=False``: each text should hold one record.  A broken text gives the first error as one row, and then a row with ``recovered`` for each valid
+    record that starts at a validated anchor inside it.  ``many=True``: a text may hold
+    any number; after a broken one the parser goes on at the next validated record
     start, and every broken block has a row.  Result columns: the id column, then ``RECORD_SCHEMA``; other
     columns of ``df`` are not carried, so none can clash.
 
@@ -42,37 +45,33 @@ def parse_records(df: DataFrame, id_col: str = "raw_id", fmt_col: str = "fmt", t
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
 
     def run(batches):
-        from helixframe.kernels.record_grammar import Broken, _RULES, parse_record, parse_stream
+        from helixframe.kernels.record_grammar import Broken, _RULES, parse_frame, parse_stream
 
-        for pdf in batches:
-            ids, rows = [], []
-            for key, fmt, text in zip(pdf["k"], pdf["f"], pdf["t"]):
-                text = text if isinstance(text, str) else None
+        rules = schema.compiled()
+        for b in batches:
+            keys, rows = [], []
+            for i, (fmt, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 if fmt not in _RULES:
                     items = [Broken("format", 1, 1, str(fmt))]
-                elif many:
-                    items = parse_stream(fmt, text)
                 else:
-                    items = (parse_record(fmt, text),)
+                    items = (parse_stream if many else parse_frame)(fmt, text, rules)
                 for no, item in enumerate(items, 1):
-                    ids.append(key)
-                    rows.append(_row(no, fmt, item))
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("error_line", "error_col", "record_no"):
-                out[c] = out[c].astype("Int32")
-            out.insert(0, "k", pd.array(ids, dtype=pdf["k"].dtype) if ids else pd.Series([], dtype=pdf["k"].dtype))
-            yield out
+                    keys.append(i)
+                    rows.append(_row(no, fmt, item, not many and no > 1))
+            cols = zip(*rows) if rows else [()] * len(_TYPES)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, _TYPES))], ["k", *names])
 
     src = df.select(F.col(id_col).alias("k"), F.col(fmt_col).alias("f"), F.col(text_col).alias("t"))
-    return spread(src).mapInPandas(run, f"k {id_type}, {RECORD_SCHEMA}").withColumnRenamed("k", id_col)
+    return spread(src).mapInArrow(run, f"k {id_type}, {RECORD_SCHEMA}").withColumnRenamed("k", id_col)
 
 
-def broken_records(df: DataFrame, id_col: str = "raw_id", fmt_col: str = "fmt", text_col: str = "raw_text") -> DataFrame:
+def broken_records(df: DataFrame, schema: RecordSchema, id_col: str = "raw_id", fmt_col: str = "fmt", text_col: str = "raw_text") -> DataFrame:
     """The id and the reason of each broken record; rows with an unknown format are left out."""
-    parsed = parse_records(df, id_col, fmt_col, text_col)
+    parsed = parse_records(df, schema, id_col, fmt_col, text_col)
     return parsed.where(~F.col("ok") & (F.col("reason") != "format")).select(id_col, "reason")
 
 
-def valid_records(df: DataFrame, id_col: str = "raw_id", fmt_col: str = "fmt", text_col: str = "raw_text") -> DataFrame:
-    """The valid records with their typed fields."""
-    return parse_records(df, id_col, fmt_col, text_col).where("ok").select(id_col, "fmt", "name", "seq", "qual", "fields")
+def valid_records(df: DataFrame, schema: RecordSchema, id_col: str = "raw_id", fmt_col: str = "fmt", text_col: str = "raw_text", recovered: bool = False) -> DataFrame:
+    """The valid records with their typed fields; with ``recovered`` those found inside broken texts instead."""
+    kept = F.col("ok") & (F.col("recovered") == F.lit(recovered))
+    return parse_records(df, schema, id_col, fmt_col, text_col).where(kept).select(id_col, "fmt", "name", "seq", "qual", "fields")

@@ -54,3 +54,13 @@ def test_bands_with_ambiguous_flanks(spark):
     got = QUERIES["P21_dictionary_bands_flanks"](spark, DATA).collect()
     assert any(set(r["head"] + r["tail"]) - set("ACGT") for r in got)
     assert not any(set(r["band"]) - set("ACGT") for r in got)
+
+
+def test_the_stream_loses_no_valid_record(spark, duck):
+    """Every record that is valid by itself is found among the broken ones around it; what is found besides lies inside broken texts."""
+    from helixframe.plans.records import VALID_BY_BLOCK
+
+    got = {tuple(r)[:3]: r["n_valid"] for r in QUERIES["p1_stream"](spark, DATA).collect()}
+    want = {tuple(r)[:3]: r[3] for r in duck.sql(VALID_BY_BLOCK).fetchall()}
+    assert set(got) == set(want) and all(got[k] >= n for k, n in want.items())
+    assert sum(got.values()) - sum(want.values()) <= QUERIES["p1_recovered"](spark, DATA).count()

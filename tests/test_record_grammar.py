@@ -1,7 +1,19 @@
 import pytest
 
-from helixframe.kernels.record_grammar import Broken, desc_fields, parse_record, parse_stream
+from helixframe.kernels.record_grammar import Broken, desc_fields, parse_frame, parse_record as _record, parse_stream as _stream
 from helixframe.operators.record_recovery import broken_records, parse_records, valid_records
+from helixframe.plans.records import SCHEMA
+
+RULES = SCHEMA.compiled()
+
+
+def parse_record(fmt, text):
+    return _record(fmt, text, RULES)
+
+
+def parse_stream(fmt, text):
+    return _stream(fmt, text, RULES)
+
 
 HEAD = "QCR001C LFP31 XDB:S000000001, Chr XIV from 622127-628550, direct, Dubious ORF, cell"
 FASTA = {
@@ -80,8 +92,24 @@ def test_operator(spark):
     long = "@a:1:1:1:1\n" + "ACGT" * 50_000 + "\n+\n" + "I" * 200_000
     rows = [(1, "fasta", f">{HEAD}\nAC"), (2, "fasta", None), (3, "fastq", ""), (4, None, "x"), (5, "sam", "x"), (6, "fastq", long), (None, "fastq", "x"), (1, "fasta", f">{HEAD}\nAC")]
     df = spark.createDataFrame(rows, "raw_id long, fmt string, raw_text string").selectExpr("*", "'x' as k", "'x' as f", "'x' as t", "'x' as ok", "'x' as reason")
-    assert sorted(map(tuple, broken_records(df).collect()), key=str) == [(2, "markup"), (3, "line_count"), (None, "line_count")]
-    assert sorted(r["raw_id"] for r in valid_records(df).collect()) == [1, 1, 6]
-    assert parse_records(df.where("false")).collect() == []
+    assert sorted(map(tuple, broken_records(df, SCHEMA).collect()), key=str) == [(2, "markup"), (3, "line_count"), (None, "line_count")]
+    assert sorted(r["raw_id"] for r in valid_records(df, SCHEMA).collect()) == [1, 1, 6]
+    assert parse_records(df.where("false"), SCHEMA).collect() == []
     many = spark.createDataFrame([(1, "fasta", f">{HEAD}\nA\n>bad\n>{HEAD}\nC\n"), (2, "fasta", "")], "raw_id long, fmt string, raw_text string")
-    assert [(r.record_no, r.ok, r.seq) for r in parse_records(many, many=True).orderBy("record_no").collect()] == [(1, True, "A"), (2, False, None), (3, True, "C")]
+    assert [(r.record_no, r.ok, r.seq) for r in parse_records(many, SCHEMA, many=True).orderBy("record_no").collect()] == [(1, True, "A"), (2, False, None), (3, True, "C")]
+
+
+def test_only_validated_anchors_resume_fasta():
+    """A '>' line inside what a broken quote left behind is no record start unless letters follow it."""
+    text = f'>{HEAD}, "open\nACGT\n> noise, 12 "\n some text.\n>{HEAD}\nTT\n'
+    got = [x.reason if isinstance(x, Broken) else x.seq for x in parse_stream("fasta", text)]
+    assert got == ["quoting", "TT"]
+
+
+def test_records_inside_a_broken_text_are_recovered():
+    good = "@a:1:1:1:{}\nAC\n+\nII\n"
+    items = list(parse_frame("fastq", good.format(1) + "x\n" + good.format(2), RULES))
+    assert [x.reason if isinstance(x, Broken) else x.name for x in items] == ["line_count", "a:1:1:1:1", "a:1:1:1:2"]
+    items = list(parse_frame("fasta", f'>{HEAD}, "open\nACGT\n>{HEAD}\nTT\n', RULES))
+    assert [x.reason if isinstance(x, Broken) else x.seq for x in items] == ["quoting", "TT"]
+    assert len(list(parse_frame("fastq", good.format(1), RULES))) == 1
