@@ -1,23 +1,22 @@
-"""Keyword-stuffed and link-list pages: list density joined with phrases replicated on other hosts.
+"""Keyword-stuffed and link-list pages: phrases replicated on other hosts, joined with list density.
 
 Each text is cut into segments at line ends and sentence ends.  A segment is
 
-* a *sentence*: enough of its words are function words, or it is CJK text with its punctuation;
-* *exempt*: reference signs, citations, formulas, sequence listings, paragraph numbers - what patents have instead of sentences;
+* a *sentence*: enough of its words are connectives, it ends as a sentence of different words does, or it is CJK text with its punctuation;
+* *exempt*: reference signs, citations, formulas, sequence listings, which by the problem's statement are no lists even if they stand alone;
 * a *list* part: links, price offers, hash tags, menus, comma lists or repeated phrases;
-* *open*: words without function words and without any of these marks (it may be a
-  keyword string, or prose of a language that has no entry below).
-
-Open parts are decided by their phrases: the shingles of ``PHRASE`` words are
-exploded, and the distinct hosts of each phrase counted over the whole corpus.
-A phrase is replicated if it stands on more than ``HOST_SHARE`` of all hosts (and on more
-than ``OTHER_HOSTS``).  A word is *stitched in* if it stands in a replicated phrase, or if it
-is repeated in the open parts of its page and these aren't *varied*: prose of any language
-repeats most of its words too, but a good part of its vocabulary occurs only once.
-Open parts that are mostly stitched together count as list parts; prose of an unknown
-language isn't.  A page is flagged if list parts make up more than ``SHARE`` of its characters.
-
-Only pages whose decision depends on it look their phrases up; phrases of all pages are counted.
+* *open*: words without connectives and without any of these marks (it may be a
+  keyword string, or prose of a language too rare in the corpus to show its connectives).
+
+Connectives aren't listed anywhere: they are the words of the corpus that hardly ever stand last before a mark or line end and
+that no single word follows most of the time (``the``, ``der``, ``la``, not ``pump``, ``buy`` or the ``mixing`` of ``mixing chamber``).
+
+Open parts count as list parts if most of their words are repeated on the page and they aren't *varied*: prose of any language
+repeats its words too, but a good part of its vocabulary occurs only once.
+
+List density alone flags nothing.  The shingles of ``PHRASE`` words of all list and open parts are exploded, and the distinct hosts of each counted over the whole
+corpus; a phrase that stands on at least ``HOSTS`` hosts is replicated.  A page is flagged if list parts
+make up more than ``SHARE`` of its characters and at least ``REPLICATED`` of its phrases are replicated elsewhere.
 """
 from __future__ import annotations
 
@@ -27,37 +26,27 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from helixframe.session import ensure_checkpoint_dir
+from helixframe.operators.skew import join_groups
+from helixframe.session import stored
 
-SHARE = 0.45      # between a third and six tenths
-OTHER_HOSTS = 2   # a phrase is replicated if it stands on so many other hosts at least
-HOST_SHARE = 0.25  # and on more than this share of all hosts
-STITCHED = 0.6    # open parts count as lists if more than this share of their words is stitched in
-PHRASE = 8        # words of a phrase; shorter parts (headings) have none
+SHARE = 0.45       # between a third and six tenths
+PHRASE = 2         # words of a phrase; numbers count as one word
+HOSTS = 2          # a phrase on so many hosts is replicated
+REPLICATED = 0.25  # of a flagged page's phrases
+REPEATED = 0.6     # open parts count as lists if more than this share of their words is repeated
 SENTENCE_WORDS = (5, 40)  # words of a sentence of prose: the one that the middle word of the text stands in
-VARIED = 0.25     # prose has at least this share of its vocabulary only once
+VARIED = 0.25      # prose has at least this share of its vocabulary only once
 FUNCTION_SHARE = 0.12
-
-# Frequent function words of some languages.
-FUNCTION_WORDS = frozenset(
-    """a an the of and or to in is are was were be been being it its this that these those by with for from as at on than then so not no
-    which wherein whereby when if has have having had can may must will would could should between into over under until each any one two
-    more less only also thereby therein comprises comprising said according how many did left once given what who where why you your we our they
-    der die das den dem des ein eine einer eines einem einen und oder ist sind wird werden wurde mit von vom zu zum zur im am auf aus bei
-    durch für nach nicht als wie dass sich weist dadurch wobei
-    le la les un une du de et ou est sont être avec par pour dans sur sous au aux en ce cette ces qui que dont on se sa son ses entre selon ainsi
-    el los las una unos unas del y o es con por para sobre su sus como al según lo
-    il gli uno di che e è per tra fra nel della dei
-    os um uma do da dos das em na com
-    het een van zijn met voor op te dat
-    i w z nie jest od oraz och att som för av på det till og til ikke""".split()
-)
+CONNECTIVES = 5000       # learned words at most
+LAST_SHARE = 0.02        # of a connective's occurrences stand last
+FOLLOWER_SHARE = 0.5     # and no more than this share is followed by one word
+LEAST = 30               # occurrences from which a word is judged
 
 PLAIN_SHARE = 0.25  # a line with so many function words and no mark of a list is prose as a whole
 
 _TOKEN = re.compile(r"[^\W_]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힯]")
-_END = re.compile(r"(?<!Fig)[.!?;](?=\s)|[。！？；]")
+_END = re.compile(r"[.!?;](?=\s)|[。！？；]")
 _MARK = re.compile(r"[^\w\s'’/-]+")
 _LINK = re.compile(r"https?://|www\.|<a href|\]\(|\b[\w-]+\.[a-z]{2,8}/\S")
 _PRICE = re.compile(r"\d[.,]\d\d\s*(?:[A-Z]{3}\b|[€$£¥]|in stock|★|-\d+ ?%)")
@@ -68,7 +57,7 @@ _REFERENCE = re.compile(r"^\(?\d{1,4}[a-z]?\)?[\s:.,=–-]+[^\W\d_][^\n,;|·»#]
 _CITATION = re.compile(r"\b[A-Z]{2} ?\d{5,}\s?[A-Z]\d?\b")
 _FORMULA = re.compile(r"[=^{}\\→⇌∑∫√]|\[Formula|\b[A-Z][a-z]?\s?\d\s")
 _LISTING = re.compile(r"^<\d+>|^(?:[acgtun]{5,}[\s\d]*)+$|^(?:[A-Z][a-z]{2}\s)+[A-Z][a-z]{2}$")
-_is_function_word = FUNCTION_WORDS.__contains__
+_NUMBER = re.compile(r"\d+")
 
 SENTENCE, EXEMPT, LIST, OPEN = range(4)
 
@@ -88,7 +77,7 @@ def _repeats(words: list[str]) -> bool:
     return len(words) >= 6 and 2 * len(set(words)) <= len(words) and 2 * len(set(zip(words, words[1:]))) <= len(words) - 1
 
 
-def kind_of(segment: str) -> int:
+def kind_of(segment: str, connectives: frozenset[str]) -> int:
     """The kind of one segment (stripped, not empty)."""
     if _marked(segment):
         return LIST
@@ -100,7 +89,9 @@ def kind_of(segment: str) -> int:
     if not segment.isascii() and len(_CJK.findall(segment)) >= 0.4 * len(segment):
         marks = sum(map(segment.count, "、,，|· "))
         return LIST if marks * 5 > len(segment) else SENTENCE
-    if sum(map(_is_function_word, words)) >= FUNCTION_SHARE * len(words):
+    if sum(map(connectives.__contains__, words)) >= FUNCTION_SHARE * len(words):
+        return SENTENCE
+    if segment[-1] in ".!?" and len(words) >= 8 and 10 * len(set(words)) >= 8 * len(words):
         return SENTENCE
     if _LISTING.search(segment) or _REFERENCE.search(segment) or _CITATION.search(segment) or _FORMULA.search(segment):
         return EXEMPT
@@ -110,13 +101,13 @@ def kind_of(segment: str) -> int:
     return OPEN
 
 
-def segments(text: str):
+def segments(text: str, connectives: frozenset[str]):
     """Lines, cut at sentence ends; a line of plain prose is left out as a whole."""
     for line in text.split("\n"):
         words = line.lower().split()
         if not words:
             continue
-        if sum(map(_is_function_word, words)) >= PLAIN_SHARE * len(words) and not _repeats(words) and not _marked(line):
+        if sum(map(connectives.__contains__, words)) >= PLAIN_SHARE * len(words) and not _repeats(words) and not _marked(line):
             continue
         at = 0
         for m in _END.finditer(line):
@@ -146,81 +137,74 @@ def is_varied(opened: list[str], count: Counter) -> bool:
     return False
 
 
-def profile(text: str) -> dict:
-    """Characters without blanks (all, in lists, open); words of the open parts (all, and those stitched in by repetition);
-    their phrases, each with the places of its words that aren't stitched in already."""
+def profile(text: str, connectives: frozenset[str]) -> tuple[int, int, int, list[str]]:
+    """(characters without blanks: all, in lists, in open parts that count as lists; distinct phrases of list and open parts)."""
     listed = opened = 0
-    parts: list[list[str]] = []
-    texts = []
-    for segment in segments(text):
-        kind = kind_of(segment)
+    texts: list[str] = []
+    phrases: set[str] = set()
+    count: Counter = Counter()
+    for segment in segments(text, connectives):
+        kind = kind_of(segment, connectives)
+        if kind not in (LIST, OPEN):
+            continue
+        words = _TOKEN.findall(segment.lower())
         if kind == LIST:
             listed += _length(segment)
-        elif kind == OPEN:
+        else:
             opened += _length(segment)
             texts.append(segment)
-            parts.append(_TOKEN.findall(segment.lower()))
-    count = Counter(w for words in parts for w in words)
-    varied = is_varied(texts, count)
-    phrases, spans, at = set(), [], 0
-    for words in parts:
-        for i in range(len(words) - PHRASE + 1):
-            phrases.add(phrase := " ".join(words[i:i + PHRASE]))
-            if left := [at + k for k in range(i, i + PHRASE) if varied or count[words[k]] == 1]:
-                spans.append({"phrase": phrase, "words": left})
-        at += len(words)
-    return {
-        "n_chars": _length(text), "n_list": listed, "n_open": opened, "n_words": sum(count.values()),
-        "n_repeated": 0 if varied else sum(n for n in count.values() if n > 1), "phrases": sorted(phrases), "spans": spans,
-    }
-
-
-_SPANS = pa.list_(pa.struct([("phrase", pa.string()), ("words", pa.list_(pa.int32()))]))
-
-
-def _profiles(batches):
-    for b in batches:
-        out = [profile(t) for t in b.column("t").to_pylist()]
-        cols = {"doc": b.column("doc"), "host": b.column("host")}
-        cols |= {k: pa.array([x[k] for x in out], pa.int32()) for k in ("n_chars", "n_list", "n_open", "n_words", "n_repeated")}
-        cols["phrases"] = pa.array([x["phrases"] for x in out], pa.list_(pa.string()))
-        cols["spans"] = pa.array([x["spans"] for x in out], _SPANS)
-        yield pa.RecordBatch.from_pydict(cols)
+            count.update(words)
+        words = [_NUMBER.sub("0", w) for w in words]
+        phrases.update(" ".join(words[i:i + PHRASE]) for i in range(len(words) - PHRASE + 1))
+    if opened and (sum(n for n in count.values() if n > 1) <= REPEATED * sum(count.values()) or is_varied(texts, count)):
+        opened = 0
+    return _length(text), listed, opened, sorted(phrases)
+
+
+def _profiles(connectives):
+    def run(batches):
+        words = connectives.value
+        for b in batches:
+            out = [profile(t, words) for t in b.column("t").to_pylist()]
+            cols = {"doc": b.column("doc"), "host": b.column("host")}
+            cols |= {k: pa.array([x[i] for x in out], pa.int32()) for i, k in enumerate(("n_chars", "n_list", "n_open"))}
+            cols["phrases"] = pa.array([x[3] for x in out], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_pydict(cols)
+
+    return run
+
+
+def connectives(texts: DataFrame, text_col: str) -> frozenset[str]:
+    """The connectives of a corpus, at most CONNECTIVES of them, the most frequent first.
+
+    Pairs of neighbouring words are counted over all texts, combined before the shuffle; the end of a segment counts as a follower.
+    """
+    segment = F.explode(F.split(F.lower(F.col(text_col)), "[^\\p{L}\\p{N}\\s'’-]+|\\n"))
+    words = texts.select(segment.alias("s")).select(F.regexp_extract_all("s", F.lit("\\p{L}+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    pairs = words.select(F.explode(F.transform("w", lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("next")))).alias("p"))
+    counts = pairs.groupBy("p.word", "p.next").agg(F.count(F.lit(1)).alias("n"))
+    stats = counts.groupBy("word").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("next") == "", F.col("n"))), F.lit(0)).alias("last"), F.max(F.when(F.col("next") != "", F.col("n"))).alias("top"))
+    kept = stats.where((F.col("n") >= LEAST) & (F.col("last") <= LAST_SHARE * F.col("n")) & (F.col("top") <= FOLLOWER_SHARE * F.col("n")))
+    return frozenset(r[0] for r in kept.orderBy(F.desc("n"), "word").limit(CONNECTIVES).select("word").collect())
 
 
 def spam_profile(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """``(doc, list_share, open_share, stitched_share, is_spam)`` for every row with a text and an id.
+    """``(doc, list_share, replicated_share, is_spam)`` for every row with a text and an id.
 
     Defined results: null texts have no row; an empty or blank one is no spam; a
     null host counts as a host of its own; a repeated row counts once for the
     hosts and keeps its row; other columns are not carried, so none clash.
     """
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(host_col), F.concat(F.lit("row "), F.col(id_col).cast("string"))).alias("host"), F.col(text_col).alias("t")).where("doc is not null and t is not null")
-    pages = src.mapInArrow(
-        _profiles,
-        "doc long, host string, n_chars int, n_list int, n_open int, n_words int, n_repeated int, phrases array<string>, spans array<struct<phrase: string, words: array<int>>>",
-    )
-    ensure_checkpoint_dir(docs.sparkSession)
-    pages = pages.checkpoint()  # read four times below; holds no text but the open parts
-    chars = F.greatest("n_chars", F.lit(1))
-    shares = pages.withColumn("list_share", F.col("n_list") / chars).withColumn("open_share", F.col("n_open") / chars)
-    n_hosts = pages.select(F.countDistinct(F.xxhash64("host"))).first()[0]
-    hosts = (
-        pages.select(F.xxhash64("host").alias("host"), F.explode(F.transform("phrases", lambda p: F.xxhash64(p))).alias("phrase"))
-        .distinct().groupBy("phrase").agg(F.count(F.lit(1)).alias("hosts"))
-        .where(F.col("hosts") > max(OTHER_HOSTS, HOST_SHARE * n_hosts)).select("phrase")
-    )
-    depends = (F.col("list_share") <= SHARE) & (F.col("list_share") + F.col("open_share") > SHARE)
-    replicated = (
-        shares.where(depends & (F.col("n_repeated") <= STITCHED * F.col("n_words")))
-        .select("doc", F.explode("spans").alias("s"))
-        .select("doc", "s.words", F.xxhash64("s.phrase").alias("phrase"))
-        .join(hosts, "phrase", "left_semi")
-        .select("doc", F.explode("words").alias("word")).distinct()
-        .groupBy("doc").agg(F.count(F.lit(1)).alias("n_replicated"))
-    )
-    joined = shares.select("doc", "list_share", "open_share", "n_words", "n_repeated", depends.alias("depends")).join(replicated, "doc", "left")
-    stitched = (F.col("n_repeated") + F.coalesce("n_replicated", F.lit(0))) / F.greatest("n_words", F.lit(1))
-    return joined.withColumn("stitched_share", stitched).select(
-        "doc", "list_share", "open_share", "stitched_share", ((F.col("list_share") > SHARE) | (F.col("depends") & (F.col("stitched_share") > STITCHED))).alias("is_spam")
-    )
+    learned = spark.sparkContext.broadcast(connectives(src, "t"))
+    pages = src.mapInArrow(_profiles(learned), "doc long, host string, n_chars int, n_list int, n_open int, phrases array<string>")
+    hashed = F.transform("phrases", lambda p: F.xxhash64(p))
+    pages = stored(pages.select(F.monotonically_increasing_id().alias("row"), "doc", F.xxhash64("host").alias("host"), ((F.col("n_list") + F.col("n_open")) / F.greatest("n_chars", F.lit(1))).alias("list_share"), hashed.alias("phrases")), "pages")
+    by_host = pages.select("host", F.explode("phrases").alias("phrase")).groupBy("phrase", "host").agg(F.count(F.lit(1)).alias("n"))
+    replicated = by_host.groupBy("phrase").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= HOSTS)
+    dense = pages.where(F.col("list_share") > SHARE).select("row", F.explode("phrases").alias("phrase"))
+    found = join_groups(dense, stored(replicated.select("phrase", "n"), "phrases"), ["phrase"], "n").groupBy("row").agg(F.count(F.lit(1)).alias("found"))
+    joined = pages.select("row", "doc", "list_share", F.size("phrases").alias("all")).join(found, "row", "left")
+    share = F.coalesce(F.col("found") / F.greatest("all", F.lit(1)), F.lit(0.0))
+    return joined.select("doc", "list_share", share.alias("replicated_share"), ((F.col("list_share") > SHARE) & (share >= REPLICATED)).alias("is_spam"))

@@ -152,19 +152,37 @@ PAGES = {
 }
 
 
+CORPUS = [(1000 + i, PROSE * 4, f"host{i}") for i in range(12)]  # shows what the connectives are
+
+
 def test_spam(spark, clash):
     rows = [(i, t, None if i % 3 else f"host{i % 5}") for i, (t, _) in PAGES.items()] + [(2, PAGES[2][0], "host1"), (None, PAGES[2][0], "host1")]
+    rows += [(100 + i, t, "elsewhere") for i, (t, _) in PAGES.items()] + CORPUS
     df = clash(spark.createDataFrame(rows, "doc_id long, text string, applicant string"))
     got = G.spam_profile(df, "doc_id", "text", "applicant").collect()
-    assert {r["doc"]: r["is_spam"] for r in got} == {i: spam for i, (_, spam) in PAGES.items() if spam is not None}
-    assert len(got) == 17
+    flags = {r["doc"]: r["is_spam"] for r in got}
+    want = {i: spam for i, (_, spam) in PAGES.items() if spam is not None}
+    assert {i: flags[i] for i in want} == want and {i: flags[100 + i] for i in want} == want
+    assert not any(flags[i] for i, _, _ in CORPUS) and len(got) == 33 + len(CORPUS)
     assert G.spam_profile(df.where("false"), "doc_id", "text", "applicant").collect() == []
 
 
+def test_phrases_that_no_other_host_has_flag_nothing(spark):
+    rows = [(i, t, "one host") for i, (t, _) in PAGES.items()] + [(i, t, "one host") for i, t, _ in CORPUS]
+    df = spark.createDataFrame(rows, "doc_id long, text string, applicant string")
+    assert not [r["doc"] for r in G.spam_profile(df, "doc_id", "text", "applicant").collect() if r["is_spam"]]
+
+
+def test_connectives_are_learned(spark):
+    df = spark.createDataFrame([(t,) for _, t, _ in CORPUS] + [("buy pump, best pump, pump of steel, mixing chamber, " * 20,)], "t string")
+    got = G.connectives(df, "t")
+    assert "the" in got and not got & {"pump", "buy", "mixing", "chamber", "recess", "falls"}
+
+
 def test_prose_that_repeats_its_words_and_headings_are_no_spam(spark):
     prose = ("Talo rakennettiin joen rannalle. Joen vesi virtasi talo vieressä hitaasti. Vanha talo seisoi joen rannalle rakennetun sillan vieressä. "
              "Sillan vieressä virtasi hitaasti joen vesi. Talo seisoi vieressä, vesi virtasi hitaasti sillan alla. Kylän lapset juoksivat sillan yli talo vieressä. "
              "Lapset seisoi joen rannalle. Illalla vesi virtasi hitaasti, lapset seisoi sillan vieressä. ")
-    rows = [(1, prose, "h1"), *((i, "BESCHREIBUNG", f"h{i}") for i in range(2, 8))]
+    rows = [(1, prose, "h1"), (9, prose, "h9"), *((i, "BESCHREIBUNG", f"h{i}") for i in range(2, 8))]
     df = spark.createDataFrame(rows, "doc_id long, text string, applicant string")
     assert not [r["doc"] for r in G.spam_profile(df, "doc_id", "text", "applicant").collect() if r["is_spam"]]
