@@ -159,7 +159,7 @@ def _common(a, b):
 
     from helixframe.kernels.arrow import buffer_of
 
-    none = pa.compute.or_(a.is_null(), b.is_null())
+    none = np.asarray(a.is_null()) | np.asarray(b.is_null())
     out = np.zeros(len(a), np.int64)
     (x, xo), (y, yo) = buffer_of(a), buffer_of(b)
     size = np.minimum(np.diff(xo), np.diff(yo))
@@ -180,7 +180,7 @@ def _common(a, b):
     if len(x) and x.max() > 127:  # letters, not bytes; a letter that differs in a later byte isn't common
         whole = [len(x[o:o + n].tobytes().decode("utf-8", "ignore")) for o, n in zip(xo[:-1].tolist(), at.tolist())]
         out[:] = whole
-    return pa.array(out.astype(np.int32), mask=np.asarray(none))
+    return pa.array(out.astype(np.int32), mask=none)
 
 
 def common_prefix(a, b) -> Column:
