@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from helixframe.llm.repeats import Replies, by_task, numbered, repeated
@@ -45,7 +46,7 @@ def _tested(folder: str):
             maybe = np.zeros(b.num_rows, bool)
             for p, rows in by_task(b):
                 maybe[rows] = replies.has(p, h.view(np.uint64)[rows], np.zeros(len(rows), np.uint32))
-            key = pa.compute.if_else(pa.array(maybe), b.column("key"), pa.scalar(None, pa.binary()))
+            key = pc.if_else(pa.array(maybe), b.column("key"), pa.scalar(None, pa.binary()))
             yield pa.RecordBatch.from_arrays([b.column("id"), key], ["id", "key"])
 
     return run

@@ -23,9 +23,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from helixframe.kernels.arrow import pieces
+from helixframe.llm.near_dup import mix
 from helixframe.operators.skew import join_groups
 from helixframe.session import stored
 
@@ -174,16 +178,79 @@ def _profiles(connectives):
     return run
 
 
+#: letters (any byte beyond ASCII is one), and what may stand between two words of one segment
+_LETTER, _BETWEEN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = _LETTER[128:] = True
+_BETWEEN[48:58] = True
+_BETWEEN[[9, 13, 32, 39, 45]] = True
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _followers(batches):
+    """(word, next, n): how often each word is followed by each other (by its hash; 0 where a segment ends), counted over the task."""
+    words: dict[int, str] = {}
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    powers = (np.ones(1, np.uint64),) * 2
+
+    def summed():
+        h, nxt, n = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((nxt, h))
+        h, nxt, n = h[order], nxt[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (nxt[1:] != nxt[:-1])]))
+        return h[at], nxt[at], np.add.reduceat(n, at)
+
+    def emit(h, nxt, n):
+        return pa.RecordBatch.from_arrays([pa.array([words[x] for x in h.tolist()], pa.string()), pa.array(nxt.view(np.int64)), pa.array(n)], ["word", "next", "n"])
+
+    size = 0
+    for b in batches:
+        for _, data, offsets in pieces(pc.utf8_lower(b.column(0)), 1 << 19):
+            if len(data) > len(powers[0]):
+                powers = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(data), x, np.uint64)])) for x in (_BASE, _BACK))
+            on = _LETTER[data]
+            edge = np.zeros(len(data) + 1, bool)
+            edge[offsets] = True
+            begin, stop = on.copy(), on.copy()
+            begin[1:] &= ~on[:-1] | edge[1:-1]
+            stop[:-1] &= ~on[1:] | edge[1:-1]
+            starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+            if not len(starts):
+                continue
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * powers[0][:len(data)], dtype=np.uint64)])
+            h = mix((sums[ends] - sums[starts]) * powers[1][starts]) | np.uint64(1)
+            bad = np.concatenate([[0], np.cumsum(~on & ~_BETWEEN[data])])
+            row = np.searchsorted(offsets, starts, side="right")
+            nxt = np.zeros(len(h), np.uint64)
+            joined = (bad[starts[1:]] == bad[ends[:-1]]) & (row[1:] == row[:-1])
+            nxt[:-1][joined] = h[1:][joined]
+            pair = mix(h * _BASE + nxt)
+            _, first, n = np.unique(pair, return_index=True, return_counts=True)
+            held.append((h[first], nxt[first], n))
+            size += len(first)
+            distinct, at = np.unique(h, return_index=True)
+            for x, i in zip(distinct.tolist(), at.tolist()):
+                if x not in words:
+                    words[x] = data[starts[i]:ends[i]].tobytes().decode("utf-8", "replace")
+            if size > 2_000_000:
+                held = [summed()]
+                size = len(held[0][0])
+                if size > 1_000_000:
+                    yield emit(*held[0])
+                    held, size = [], 0
+                    words.clear()
+    if held:
+        yield emit(*summed())
+
+
 def connectives(texts: DataFrame, text_col: str) -> frozenset[str]:
     """The connectives of a corpus, at most CONNECTIVES of them, the most frequent first.
 
     Pairs of neighbouring words are counted over all texts, combined before the shuffle; the end of a segment counts as a follower.
     """
-    segment = F.explode(F.split(F.lower(F.col(text_col)), "[^\\p{L}\\p{N}\\s'’-]+|\\n"))
-    words = texts.select(segment.alias("s")).select(F.regexp_extract_all("s", F.lit("\\p{L}+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    pairs = words.select(F.explode(F.transform("w", lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("next")))).alias("p"))
-    counts = pairs.groupBy("p.word", "p.next").agg(F.count(F.lit(1)).alias("n"))
-    stats = counts.groupBy("word").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("next") == "", F.col("n"))), F.lit(0)).alias("last"), F.max(F.when(F.col("next") != "", F.col("n"))).alias("top"))
+    pairs = texts.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(_followers, "word string, next long, n long")
+    counts = pairs.groupBy("word", "next").agg(F.sum("n").alias("n"))
+    stats = counts.groupBy("word").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("next") == 0, F.col("n"))), F.lit(0)).alias("last"), F.max(F.when(F.col("next") != 0, F.col("n"))).alias("top"))
     kept = stats.where((F.col("n") >= LEAST) & (F.col("last") <= LAST_SHARE * F.col("n")) & (F.col("top") <= FOLLOWER_SHARE * F.col("n")))
     return frozenset(r[0] for r in kept.orderBy(F.desc("n"), "word").limit(CONNECTIVES).select("word").collect())
 
