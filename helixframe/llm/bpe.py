@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 VOCABULARY = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-TABLE_ROWS = 100_000     # chunks of the broadcast table at most
-TABLE_BYTES = 4 << 20    # bytes of their texts at most
+TABLE_ROWS = 30_000      # chunks of the broadcast table at most
+TABLE_BYTES = 2 << 20    # bytes of their texts at most
 CHUNK_BYTES = 256        # longer chunks are in no table and no cache
 CACHE_BYTES = 16 << 20   # texts and ids of rare chunks that a task keeps; beyond it starts anew, which changes only the cost
 
