@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from helixframe.functions.transforms import ascii_upper, letters_only, reverse_c
 from helixframe.operators import alignment as AL
 from helixframe.operators.independence import dinucleotide_test
 from helixframe.plans.base import _UP, DNA, PATTERNS, READS, dna, patterns, reads, sql
-from helixframe.session import ensure_checkpoint_dir, table
+from helixframe.session import shared_folder, table
 from helixframe.sources import fasta, fastq
 from helixframe.streaming.drops import windowed_composition
 from helixframe.udf import register
@@ -29,8 +28,8 @@ def query(name: str, oracle: str | None = None):
 
 
 def _folder(spark) -> str:
-    """A new folder that all executors see: beside the checkpoints."""
-    return os.path.join(ensure_checkpoint_dir(spark), f"files-{uuid.uuid4().hex}")
+    """A new folder that all executors see: beside the checkpoints, removed at the end."""
+    return f"{shared_folder(spark, 'files')}/out"
 
 
 @query("S1_fasta_round_trip", sql(", f as (select coalesce(nullif(trim(regexp_replace(coalesce(desc_line, ''), '[\\r\\n>;]', '', 'g')), ''), 'none') as name, translate(regexp_replace(seq_data, '[^A-Za-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as s from fasta_seqs where seqtype = 'DNA' and seq_data is not null), v as (select length(translate(s, 'ACGTMRWSYKVHDBN', '')) as bad, length(s) as n from f) select n - bad as seqlength, count(*) as n_records from v group by all", DNA))
@@ -43,6 +42,50 @@ def s1(spark, d):
     return fasta.read_fasta(spark, path, "DNA").groupBy(F.length("seq").alias("seqlength")).agg(F.count(F.lit(1)).alias("n_records"))
 
 
+_WRITTEN = ", f as (select seq_id, regexp_replace(coalesce(desc_line, ''), '[\\r\\n>;]', '', 'g') as d, translate(regexp_replace(seq_data, '[^A-Za-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') as s from fasta_seqs where seq_data is not null and {t}), g as (select seq_id, 's' || seq_id || ' ' || d as d, s from f)"
+
+
+def _written(spark, d, where: str, width: int = 60) -> str:
+    """The records as a folder of FASTA files; their description begins with the id."""
+    t = table(spark, d, "fasta_seqs").where("seq_data is not null").where(where)
+    name = F.concat(F.lit("s"), "seq_id", F.lit(" "), F.regexp_replace(F.coalesce("desc_line", F.lit("")), "[\\r\\n>;]", ""))
+    path = _folder(spark)
+    fasta.write_fasta(t.select(name.alias("name"), letters_only("seq_data").alias("seq")), path, width=width)
+    return path
+
+
+def _read_sql(alphabet: str, t: str) -> str:
+    return sql(_WRITTEN.format(t=t) + f" select d as \"desc\", regexp_replace(s, '[^{alphabet}]', '', 'g') as seq, length(regexp_replace(s, '[{alphabet}]', '', 'g'))::int as n_invalid from g", DNA)
+
+
+@query("S1_read_rna", _read_sql("ACGUMRWSYKVHDBN", "seqtype = 'RNA'"))
+def s1r(spark, d):
+    return fasta.read_fasta(spark, _written(spark, d, "seqtype = 'RNA'"), "RNA").select("desc", "seq", "n_invalid")
+
+
+@query("S1_read_aa", _read_sql("ACDEFGHIKLMNPQRSTVWYUOBJZX", "seqtype = 'AA'"))
+def s1a(spark, d):
+    return fasta.read_fasta(spark, _written(spark, d, "seqtype = 'AA'"), "AA").select("desc", "seq", "n_invalid")
+
+
+@query("S2_fasta_grammar", sql(_WRITTEN.format(t="seqtype = 'DNA'") + " select d as \"desc\", length(s)::int as seqlength from g", DNA))
+def s2(spark, d):
+    """With comments before and inside of records, blank lines and CRLF; none of it shows in what is read."""
+    t = table(spark, d, "fasta_seqs").where("seqtype = 'DNA' and seq_data is not null")
+    name = F.concat(F.lit("s"), "seq_id", F.lit(" "), F.regexp_replace(F.coalesce("desc_line", F.lit("")), "[\\r\\n>;]", ""))
+    s = letters_only("seq_data")
+    text = F.concat(F.lit("; written for a test\n\n>"), name, F.lit("\r\n"), F.substring(s, 1, 40), F.lit("\r\n;inside\n\n"), F.expr("substr(regexp_replace(seq_data, '[^A-Za-z]', ''), 41)"))
+    path = _folder(spark)
+    t.select(text.alias("value")).write.text(path)
+    return fasta.read_fasta(spark, path, "B").select("desc", F.length("seq").alias("seqlength"))
+
+
+@query("S3_skip_and_limit", sql("select least(greatest(count(*) - 10, 0), 25) as n from dna", DNA))
+def s3(spark, d):
+    """Records 11 to 35 of the files, counted across them."""
+    return fasta.read_fasta(spark, _written(spark, d, "seqtype = 'DNA'"), "DNA", nrec=25, skip=10).agg(F.count(F.lit(1)).alias("n"))
+
+
 _CLEAN = ", f as (select * from reads where s <> '' and translate(s, 'ACGTMRWSYKVHDBN', '') = '' and (q is null or length(q) = length(s)))"
 
 
@@ -113,9 +156,9 @@ def c10(spark, d):
     return dna(spark, d).select("seq_id", F.length("s").alias("n")).orderBy(F.desc("n"), "seq_id").limit(25)
 
 
-@query("C6_no_null_sequences", sql("select seq_id, s is null as missing from dna", DNA))
+@query("C6_null_sequences", "select seq_id, seq_data is null as missing from fastq_reads")
 def c6(spark, d):
-    return dna(spark, d).select("seq_id", F.col("s").isNull().alias("missing"))
+    return table(spark, d, "fastq_reads").select("seq_id", F.col("seq_data").isNull().alias("missing"))
 
 
 @query("A11_two_way_by_quality", sql(", c as (select s, reverse(translate(s, 'ACGT', 'TGCA')) as t, q, reverse(q) as r, unnest(range(1, length(s) + 1)) as i from reads where qscale = 'phred' and length(q) = length(s)) select substr(s, i, 1) as x, substr(t, i, 1) as y, least(ascii(substr(q, i, 1)), ascii(substr(r, i, 1))) - 33 as quality, count(*) as n from c group by all", READS))
@@ -136,30 +179,41 @@ def u1(spark, d):
     return spark.sql("select seq_id, seq_revcomp(s) as rc, round(seq_gc(s), 9) as gc from hx_dna")
 
 
-@query("S4_index_by_file", "select i.fileno, f.filepath, count(*) as records, count(distinct i.recno) as distinct_records, sum(i.seqlength)::bigint as letters from fasta_idx i join seq_files f using (fileno) group by all")
+@query("S4_fasta_index", sql(_WRITTEN.format(t="seqtype = 'DNA'") + " select d as \"desc\", length(regexp_replace(s, '[^ACGTMRWSYKVHDBN]', '', 'g'))::int as seqlength, true as begins from g", DNA))
 def s4(spark, d):
-    i = table(spark, d, "fasta_idx").drop("filepath").join(F.broadcast(table(spark, d, "seq_files").select("fileno", "filepath")), "fileno")
-    return i.groupBy("fileno", "filepath").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("recno").alias("distinct_records"), F.sum("seqlength").alias("letters"))
+    """The index of written files; a record does begin at each byte offset."""
+    index = fasta.fasta_index(spark, _written(spark, d, "seqtype = 'DNA'"), "DNA")
+    at = fasta.read_fasta_at(spark, index, "DNA")
+    return at.select("desc", "seqlength", (F.col("found_desc") == F.col("desc")).alias("begins"))
 
 
-@query("S5_read_by_index", sql(", i as (select distinct fileno, recno from fasta_idx) select f.seq_id, i.fileno, i.recno, length(dna.s) as n_letters from i join fasta_seqs f on f.fileno = i.fileno and f.recno = i.recno join dna on dna.seq_id = f.seq_id", DNA))
+@query("S5_read_by_index", sql(_WRITTEN.format(t="seqtype = 'DNA'") + " select d as \"desc\", regexp_replace(s, '[^ACGTMRWSYKVHDBN]', '', 'g') as seq from g where length(regexp_replace(s, '[^ACGTMRWSYKVHDBN]', '', 'g')) > 2000", DNA))
 def s5(spark, d):
-    """Random access: the records that the index names."""
-    i = table(spark, d, "fasta_idx").select("fileno", "recno").distinct()
-    s = table(spark, d, "fasta_seqs").where("seqtype = 'DNA' and seq_data is not null").select("seq_id", "fileno", "recno", F.length(letters_only("seq_data")).alias("n_letters"))
-    return i.join(s, ["fileno", "recno"]).select("seq_id", "fileno", "recno", "n_letters")
+    """Random access by byte offset: the records longer than 2,000 letters, and no others, are read."""
+    index = fasta.fasta_index(spark, _written(spark, d, "seqtype = 'DNA'"), "DNA").where("seqlength > 2000")
+    return fasta.read_fasta_at(spark, index, "DNA").select("desc", "seq")
 
 
-@query("S6_seqlengths", sql("select f.seq_id, f.desc_line, length(dna.s) as seqlength from fasta_seqs f join dna using (seq_id)", DNA))
+@query("S6_seqlengths", sql(_WRITTEN.format(t="seqtype = 'DNA'") + " select d as \"desc\", length(regexp_replace(s, '[^ACGTMRWSYKVHDBN]', '', 'g'))::int as seqlength from g", DNA))
 def s6(spark, d):
-    t = table(spark, d, "fasta_seqs").where("seqtype = 'DNA' and seq_data is not null")
-    return t.select("seq_id", "desc_line", F.length(letters_only("seq_data")).alias("seqlength"))
+    return fasta.fasta_seqlengths(spark, _written(spark, d, "seqtype = 'DNA'"), "DNA").select("desc", "seqlength")
 
 
-@query("S8_fastq_geometry", "select fileno, count(*) as n_reads, case when min(length(seq_data)) = max(length(seq_data)) then min(length(seq_data)) end as width from fastq_reads where seq_data is not null group by fileno")
+@query("S8_fastq_geometry", sql(", f as (select s from reads where s <> '' and translate(s, 'ACGTMRWSYKVHDBN', '') = '' and (q is null or length(q) = length(s))) select count(*) as n_reads, case when min(length(s)) = max(length(s)) then min(length(s))::int end as width from f", READS))
 def s8(spark, d):
-    n = F.length("seq_data")
-    return table(spark, d, "fastq_reads").where("seq_data is not null").groupBy("fileno").agg(F.count(F.lit(1)).alias("n_reads"), F.when(F.min(n) == F.max(n), F.min(n)).alias("width"))
+    r = reads(spark, d).where("s <> '' and translate(s, 'ACGTMRWSYKVHDBN', '') = '' and (q is null or length(q) = length(s))")
+    path = _folder(spark)
+    fastq.write_fastq(r.select(F.col("seq_id").cast("string").alias("name"), F.col("s").alias("seq"), F.col("q").alias("qual")), path)
+    return fastq.fastq_geometry(fastq.read_fastq(spark, path))
+
+
+@query("S7_broken_records_are_skipped", sql(", f as (select seq_id from reads where s <> '' and q is not null and q <> '' and translate(s, 'ACGTMRWSYKVHDBN', '') = '' and length(q) = length(s)) select seq_id from f", READS))
+def s7b(spark, d):
+    """All reads that have a quality, written as they are; those with odd letters or lengths are skipped when they are read."""
+    r = reads(spark, d).where("s <> '' and q <> '' and not s rlike '[\\\\r\\\\n]' and not q rlike '[\\\\r\\\\n]'")
+    path = _folder(spark)
+    r.select(F.concat(F.lit("@"), "seq_id", F.lit("\n"), "s", F.lit("\n+\n"), "q").alias("value")).write.text(path)
+    return fastq.read_fastq(spark, path, on_error="skip").select(F.col("name").cast("long").alias("seq_id"))
 
 
 @query("P13_seqinfo", sql("select f.seq_id, coalesce(nullif(regexp_extract(f.desc_line, 'XDB:S[0-9]+', 0), ''), 'seq' || f.seq_id) as name, length(dna.s) as length, false as is_circular from fasta_seqs f join dna using (seq_id)", DNA))

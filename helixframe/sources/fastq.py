@@ -12,6 +12,8 @@ import glob
 import gzip
 import os
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -22,6 +24,11 @@ _ALPHABETS = {"DNA": A.DNA_ALPHABET, "RNA": A.RNA_ALPHABET, "AA": A.AA_ALPHABET}
 MAX_LETTERS = 200_001  # fixed value: longer sequences aren't written
 
 
+BLOCK = 8 << 20      # bytes that are cut into records at a time
+_UPPER = np.arange(256, dtype=np.uint8)
+_UPPER[97:123] -= 32
+
+
 class ByteRange(InputPartition):
     def __init__(self, fileno: int, path: str, start: int, end: int):
         self.fileno, self.path, self.start, self.end = fileno, path, start, end
@@ -55,6 +62,30 @@ class _Lines:
         self.held += [x for x in reversed(lines) if x is not None]
 
 
+def _allowed(alphabet: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[np.frombuffer((alphabet + alphabet.lower()).encode(), np.uint8)] = True
+    return table
+
+
+def _texts(x: np.ndarray, starts: np.ndarray, stops: np.ndarray, table: np.ndarray | None = None) -> pa.Array:
+    """The stretches of a buffer as strings."""
+    sizes = stops - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    letters = x[np.arange(int(offsets[-1])) + np.repeat(starts - offsets[:-1], sizes)]
+    if table is not None:
+        letters = table[letters]
+    elif len(letters) and letters.max() > 127:  # bytes that may not be UTF-8
+        raw = letters.tobytes()
+        return pa.array([raw[a:z].decode("utf-8", "replace") for a, z in zip(offsets[:-1], offsets[1:])], pa.string())
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(letters.tobytes()))
+
+
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["fileno", "byte_offset", "name", "seq", "qual", "filepath"])
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, options):
         self.paths = files_of(options["path"])
@@ -77,39 +108,105 @@ class FastqReader(DataSourceReader):
         return ValueError(f"{part.path}, byte {at}: {what}")
 
     def read(self, part):
+        """Arrow batches: blocks of bytes are cut into lines and fields as arrays; only a block with an error is read line by line."""
         if not part.path:
             return
         f = gzip.open(part.path, "rb") if part.path.endswith(".gz") else open(part.path, "rb")
         with f:
-            lines = _Lines(f, 0)
+            at = 0
             if part.start:
                 f.seek(part.start - 1)
+                lines = _Lines(f, 0)
                 lines.at = part.start - 1 + len(f.readline())
                 self._resync(lines)
-            while True:
-                head = lines.next()
-                if head is None or 0 <= part.end <= head[0]:
+                first = lines.next()
+                if first is None:
+                    return
+                at = first[0]
+                f.seek(at)
+            rest, last = b"", False
+            while not last:
+                block = f.read(BLOCK)
+                last = not block
+                data = rest + block
+                batch, used, done = self._batch(part, np.frombuffer(data, np.uint8), at, last)
+                if batch is None:  # something is wrong in this block
+                    f.seek(at)
+                    yield from self._slow(part, f, at)
                     return
-                seq, plus, qual = lines.next(), lines.next(), lines.next()
-                what = None
-                if not head[1].startswith("@"):
-                    what = "a record begins with @"
-                elif seq is None or plus is None:
-                    what = "the record isn't complete"
-                elif not plus[1].startswith("+"):
-                    what = "the third line begins with +"
-                elif len(qual[1] if qual else "") != len(seq[1]):
-                    what = "quality and sequence differ in length"
-                elif self.alphabet and set(seq[1].upper()) - set(self.alphabet):
-                    what = "a letter is outside the alphabet"
-                if what is None:
-                    s = seq[1].upper() if self.alphabet else seq[1]
-                    yield part.fileno, head[0], head[1][1:], s, qual[1] if self.qualities else None, part.path
-                elif not self.skip_errors:
-                    raise self._error(part, head[0], what)
-                else:
-                    lines.put_back(seq, plus, qual)
-                    self._resync(lines)
+                if batch.num_rows:
+                    yield batch
+                if done:
+                    return
+                rest, at = data[used:], at + used
+
+    def _batch(self, part, x: np.ndarray, at: int, last: bool):
+        """(batch of the whole records, bytes used, whether the range ends here); no batch if a record is broken."""
+        ends = np.flatnonzero(x == 10)
+        starts = np.concatenate([[0], ends + 1])
+        if last and starts[-1] < len(x):
+            ends = np.append(ends, len(x))
+        starts = starts[:len(ends)]
+        stops = ends - ((ends > starts) & (x[np.maximum(ends - 1, 0)] == 13))
+        full = np.flatnonzero(stops > starts)
+        starts, stops, nexts = starts[full], stops[full], ends[full] + 1
+        n = len(starts) // 4
+        if last and len(starts) % 4 and not (part.end >= 0 and at + starts[4 * n] >= part.end):
+            return None, 0, False
+        begin = starts[:4 * n:4]
+        done = False
+        if part.end >= 0 and (over := np.flatnonzero(at + begin >= part.end)).size:
+            n, done = int(over[0]), True
+            begin = begin[:n]
+        head, seq, plus, qual = ((starts[k:4 * n:4], stops[k:4 * n:4]) for k in range(4))
+        size = seq[1] - seq[0]
+        ok = (x[head[0]] == 64).all() and (x[plus[0]] == 43).all() and (qual[1] - qual[0] == size).all() if n else True
+        up = None
+        if ok and self.alphabet and n:
+            bad = np.concatenate([[0], np.cumsum(~_allowed(self.alphabet)[x])])
+            ok, up = (bad[seq[1]] == bad[seq[0]]).all(), _UPPER
+        if not ok:
+            return None, 0, False
+        cols = [pa.array(np.full(n, part.fileno, np.int32)), pa.array(at + begin), _texts(x, head[0] + 1, head[1]), _texts(x, *seq, up), _texts(x, *qual) if self.qualities else pa.nulls(n, pa.string()), pa.array([part.path] * n, pa.string())]
+        used = int(nexts[4 * n - 1]) if n else 0
+        return pa.RecordBatch.from_arrays(cols, ["fileno", "byte_offset", "name", "seq", "qual", "filepath"]), used, done
+
+    def _slow(self, part, f, at: int):
+        rows = []
+        for row in self._records(part, _Lines(f, at)):
+            rows.append(row)
+            if len(rows) == 10_000:
+                yield _as_batch(rows)
+                rows = []
+        if rows:
+            yield _as_batch(rows)
+
+    def _records(self, part, lines):
+        """Record by record, with the place of an error."""
+        while True:
+            head = lines.next()
+            if head is None or 0 <= part.end <= head[0]:
+                return
+            seq, plus, qual = lines.next(), lines.next(), lines.next()
+            what = None
+            if not head[1].startswith("@"):
+                what = "a record begins with @"
+            elif seq is None or plus is None:
+                what = "the record isn't complete"
+            elif not plus[1].startswith("+"):
+                what = "the third line begins with +"
+            elif len(qual[1] if qual else "") != len(seq[1]):
+                what = "quality and sequence differ in length"
+            elif self.alphabet and set(seq[1].upper()) - set(self.alphabet):
+                what = "a letter is outside the alphabet"
+            if what is None:
+                s = seq[1].upper() if self.alphabet else seq[1]
+                yield part.fileno, head[0], head[1][1:], s, qual[1] if self.qualities else None, part.path
+            elif not self.skip_errors:
+                raise self._error(part, head[0], what)
+            else:
+                lines.put_back(seq, plus, qual)
+                self._resync(lines)
 
     def _resync(self, lines: _Lines) -> None:
         """Go on to a line that begins with @, with a + line two lines behind it and as many qualities as letters."""
