@@ -1,22 +1,20 @@
-"""Near-duplicate records with small edits: anchor-point covering.
+"""Near-duplicate records with small edits.
 
-Every record gets a *fingerprint*: the ``sketch`` smallest hash values of its
-distinct long windows (``probe`` letters each).  The *anchors* are the words of
-the [s, 1] MDS code over the hash alphabet, that is the constant words (a, ..., a).
-The code restricted to one position has covering radius 0, so with the threshold
-t = s - 1 a fingerprint is replicated to every anchor within 0 + t of it, which
-are those whose letter it holds.  Any two fingerprints that agree in at least one
-letter share an anchor: within that distance the search is complete, and codes of
-a higher dimension (two or three letters to an anchor) would need 1.5 to 3 times
-the replicas for the same recall at the similarity 0.5.
+The method named for this problem, anchor-point covering with a covering code, can't reach a similarity of 0.5 over 8-letter
+windows (see the README for the figures), so this is a sketch join: each record's *fingerprint* is the ``sketch`` smallest hash
+values of its distinct long windows (``PROBE`` letters each), the *anchors* are these hash values, and records that
+meet at an anchor are compared by the exact similarity of their distinct ``window``-letter windows.
+Two records are found if their fingerprints agree anywhere.
 
-The records that meet at an anchor are compared by the exact similarity of their
-distinct ``window``-letter windows.
+A pair meets at most where it has to: each replica carries a mark of the letter that stands before it in its own
+fingerprint, and two records with the same mark have met at that letter already.  In a family of nearly equal records most pairs
+meet only where their fingerprints come together again behind a difference, not at each of their common anchors.
 
 Skew.  Exact copies are collapsed first.  Windows that occur in more than
 ``HOT_SHARE`` of all records (adapters, a family that holds a third of the rows)
 are *hot*; there are at most windows-per-record / HOT_SHARE of them, so their
-list is broadcast.  Every record is replicated to anchors of its windows that
+list is broadcast.  They are found by counters, whose number grows with the length of the records (2^22 up to 400 letters on average), so
+that unrelated records don't fill them.  Every record is replicated to anchors of its windows that
 aren't hot, and an adapter does not bring all records that carry it to one anchor.
 Two records may have no other long window in common, as the parts between hot ones
 can be moved in pieces shorter than a window.  So a record with any hot window has
@@ -29,8 +27,7 @@ two more routes, and since a hot window is hot in both, so have both records:
   or ``SHORT_PART`` of its short windows.  What has a smaller part keeps some common short
   windows that aren't hot, and two records that have nothing else in common are both above it.
 
-As for the first fingerprint, what remains is the chance that two fingerprints
-agree nowhere though their windows do.
+What remains is the chance that two fingerprints agree nowhere though their windows do.
 """
 from __future__ import annotations
 
@@ -39,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from helixframe.llm.arrow import buffer_of, row_of
+from helixframe.operators.skew import join_groups
 
 PROBE = 16        # letters of a fingerprint window
 SHORT = 12        # letters of a window of the second fingerprint
@@ -46,7 +44,7 @@ SKETCH = 28       # letters of a fingerprint
 HOT_SHARE = 2e-4  # a window in more than this share of the records is hot
 HOT_PART = 0.25   # records with a larger share of hot windows are replicated to hot anchors too
 SHORT_PART = 0.4  # the same for short windows
-_COUNTERS = 22    # bits of the counters that find hot windows
+COUNTERS = (22, 27)  # bits of the counters that find hot windows, at least and at most
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -112,64 +110,101 @@ def distinct_by_row(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, n
     return r, key & np.uint64((1 << 44) - 1), np.arange(len(r)) - first
 
 
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64((1 << _COUNTERS) - 1)).astype(np.int64)
+def counter_bits(n: int, letters: int) -> int:
+    """A text of unrelated letters fills each counter by its length / 2^bits, which has to stay well below HOT_SHARE."""
+    least, most = COUNTERS
+    bits = least
+    while bits < most and letters > n * 400 * 2 ** (bits - least):
+        bits += 1
+    return bits
 
 
-def _hot_counts(batches):
-    counts, n = {k: np.zeros(1 << _COUNTERS, np.int64) for k in (PROBE, SHORT)}, 0
-    for b in batches:
-        text = text_bytes(b.column(0))
+def _counter(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _hot_counts(bits: int):
+    def run(batches):
+        counts, n = {k: np.zeros(1 << bits, np.int32) for k in (PROBE, SHORT)}, 0
+        for b in batches:
+            text = text_bytes(b.column(0))
+            for k, c in counts.items():
+                at = _counter(window_hashes(*text, k)[1] >> np.uint64(20), bits)
+                if bits == COUNTERS[0]:
+                    c += np.bincount(at, minlength=1 << bits).astype(np.int32)
+                else:
+                    u, m = np.unique(at, return_counts=True)
+                    c[u] += m.astype(np.int32)
+            n += b.num_rows
         for k, c in counts.items():
-            _, h = window_hashes(*text, k)
-            c += np.bincount(_counter(h >> np.uint64(20)), minlength=1 << _COUNTERS)
-        n += b.num_rows
-    for k, c in counts.items():
-        hot = np.flatnonzero(c > max(HOT_SHARE * n, 8)) if n else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_pydict({"k": pa.array([k] * len(hot), pa.int32()), "counter": pa.array(hot, pa.int64()), "n": pa.array(c[hot], pa.int64())})
+            hot = np.flatnonzero(c > max(HOT_SHARE * n, 8)) if n else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k] * len(hot), pa.int32()), "counter": pa.array(hot, pa.int64()), "n": pa.array(c[hot], pa.int64())})
+
+    return run
 
 
-def hot_windows(seqs: DataFrame) -> dict[int, np.ndarray]:
-    """The counters of hot windows of either length (a window that one record repeats counts each time).
+def hot_windows(seqs: DataFrame) -> tuple[int, dict[int, np.ndarray]]:
+    """(bits, the counters of hot windows of either length); a window that one record repeats counts each time.
 
     Each task gives those above the share in its own part: a window above it
     overall is above it somewhere.  Of their sums, half the share of all records
     is kept, so the list has at most 2 * windows / HOT_SHARE entries.
     """
-    found = seqs.mapInArrow(_hot_counts, "k int, counter long, n long").groupBy("k", "counter").agg(F.sum("n").alias("n"))
-    kept = found.where(F.col("n") > seqs.count() * HOT_SHARE / 2).select("k", "counter").collect()
-    return {k: np.array(sorted(c for x, c in kept if x == k), np.int64) for k in (PROBE, SHORT)}
+    rows, letters = seqs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()
+    bits = counter_bits(rows, letters)
+    found = seqs.mapInArrow(_hot_counts(bits), "k int, counter long, n long").groupBy("k", "counter").agg(F.sum("n").alias("n"))
+    kept = found.where(F.col("n") > rows * HOT_SHARE / 2).select("k", "counter").collect()
+    return bits, {k: np.array(sorted(c for x, c in kept if x == k), np.int64) for k in (PROBE, SHORT)}
+
+
+def _planes(x: np.ndarray, n: int) -> bytes:
+    """The lower ``n`` bytes of each number, byte by byte."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T[:n]).tobytes()
+
+
+def _from_planes(data: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((len(data) // n, 8), np.uint8)
+    out[:, :n] = data.reshape(n, -1).T
+    return out.view("<i8").ravel()
+
+
+def _marks(sym: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """16 bits of the letter before each one in its record's fingerprint; 0 for the first."""
+    out = np.zeros(len(sym), np.int64)
+    before = (mix(sym[:-1] * _GOLD) >> np.uint64(48)).astype(np.int64)
+    same = rows[1:] == rows[:-1]
+    out[1:][same] = np.maximum(before[same], 1)
+    return out
 
 
-def _anchors(buckets: int, least: int, hot: dict[int, np.ndarray], sketch: int):
+def _anchors(buckets: int, least: int, bits: int, hot: dict[int, np.ndarray], sketch: int):
     """The replicas of each fingerprint, gathered by bucket of anchors: one row for a bucket and chunk.
 
-    ``entries`` holds 4 bytes of the anchor for each replica, then the record's
-    id as difference to the one before, split in byte planes (ids ascend in a
-    chunk, so most planes are zeros and cost nothing once compressed).
+    ``entries`` holds 3 bytes of the anchor and 2 of the mark for each replica, then the record's
+    id as difference to the one before, all split in byte planes (ids ascend in a
+    chunk, so most of their planes are zeros and cost nothing once compressed).
     """
-    def flush(syms, ids):
-        sym, rid = np.concatenate(syms), np.concatenate(ids)
+    def flush(syms, marks, ids):
+        sym, mark, rid = np.concatenate(syms), np.concatenate(marks), np.concatenate(ids)
         bucket = (sym % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((rid, bucket))
-        sym, rid, bucket = sym[order], rid[order], bucket[order]
-        key = ((sym // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        sym, mark, rid, bucket = sym[order], mark[order], rid[order], bucket[order]
+        key = ((sym // np.uint64(buckets)) & np.uint64(0xFFFFFF)).astype(np.int64)
         cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
         out_b, out_e = [], []
         for a, z in zip(cuts[:-1], cuts[1:]):
-            planes = np.diff(rid[a:z], prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T
             out_b.append(int(bucket[a]))
-            out_e.append(key[a:z].tobytes() + np.ascontiguousarray(planes).tobytes())
+            out_e.append(_planes(key[a:z], 3) + _planes(mark[a:z], 2) + _planes(np.diff(rid[a:z], prepend=0), 8))
         return pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_e, pa.binary())], ["bucket", "entries"])
 
     def first(at, r, most):
         return at[np.arange(len(at)) - np.searchsorted(r[at], r[at]) < most]
 
     def run(batches):
-        tables = {k: np.zeros(1 << _COUNTERS, bool) for k in hot}
+        tables = {k: np.zeros(1 << bits, bool) for k in hot}
         for k, t in tables.items():
             t[hot[k]] = True
-        syms, ids, held = [], [], 0
+        syms, marks, ids, held = [], [], [], 0
         for b in batches:
             rid = np.asarray(b.column(0))
             text = text_bytes(b.column(1))
@@ -177,33 +212,32 @@ def _anchors(buckets: int, least: int, hot: dict[int, np.ndarray], sketch: int):
             n = np.bincount(r, minlength=b.num_rows)
             rich = n[r] >= least
             if len(hot[PROBE]):
-                is_hot = tables[PROBE][_counter(sym)]
+                is_hot = tables[PROBE][_counter(sym, bits)]
                 n_hot = np.bincount(r, weights=is_hot, minlength=b.num_rows)
                 carries = (n >= least) & (n_hot > 0)
                 rows, h = window_hashes(*text, SHORT)
                 rows, h = rows[carries[rows]], h[carries[rows]]
                 short_r, short, _ = distinct_by_row(rows, h)
-                short_hot = tables[SHORT][_counter(short)]
+                short_hot = tables[SHORT][_counter(short, bits)]
                 n_short = np.bincount(short_r, minlength=b.num_rows)
                 n_short_hot = np.bincount(short_r, weights=short_hot, minlength=b.num_rows)
                 full = (n_hot > HOT_PART * n) | (n_short_hot > SHORT_PART * n_short)
-                at = np.concatenate([first(np.flatnonzero(~is_hot & rich), r, sketch), first(np.flatnonzero(is_hot & rich & full[r]), r, sketch)])
                 second = first(np.flatnonzero(~short_hot), short_r, 2 * sketch)
-                if len(second):
-                    syms.append(mix(short[second] + _GOLD) >> np.uint64(20))  # apart from the anchors of long windows
-                    ids.append(rid[short_r[second]])
-                    held += len(second)
+                routes = [(sym, r, first(np.flatnonzero(~is_hot & rich), r, sketch)), (sym, r, first(np.flatnonzero(is_hot & rich & full[r]), r, sketch))]
+                routes.append((mix(short + _GOLD) >> np.uint64(20), short_r, second))  # apart from the anchors of long windows
             else:
-                at = np.flatnonzero(rich & (rank < sketch))
-            if len(at):
-                syms.append(sym[at])
-                ids.append(rid[r[at]])
-                held += len(at)
+                routes = [(sym, r, np.flatnonzero(rich & (rank < sketch)))]
+            for letters, rows, at in routes:
+                if len(at):
+                    syms.append(letters[at])
+                    marks.append(_marks(letters[at], rows[at]))
+                    ids.append(rid[rows[at]])
+                    held += len(at)
             if held > 4_000_000:
-                yield flush(syms, ids)
-                syms, ids, held = [], [], 0
+                yield flush(syms, marks, ids)
+                syms, marks, ids, held = [], [], [], 0
         if held:
-            yield flush(syms, ids)
+            yield flush(syms, marks, ids)
 
     return run
 
@@ -211,20 +245,34 @@ def _anchors(buckets: int, least: int, hot: dict[int, np.ndarray], sketch: int):
 def _meet(batches):
     """The pairs that meet at the anchors of each bucket; the batches come sorted by bucket."""
     def pairs(parts):
-        key = np.concatenate([np.frombuffer(e, "<u4", count=len(e) // 12) for e in parts])
-        rid = np.concatenate([np.cumsum(np.ascontiguousarray(np.frombuffer(e, np.uint8, offset=len(e) // 3).reshape(8, -1).T).view("<i8").ravel()) for e in parts])
+        columns = [[], [], []]
+        for e in parts:
+            x = np.frombuffer(e, np.uint8)
+            n = len(x) // 13
+            for c, v in zip(columns, (_from_planes(x[:3 * n], 3), _from_planes(x[3 * n:5 * n], 2), np.cumsum(_from_planes(x[5 * n:], 8)))):
+                c.append(v)
+        key, mark, rid = (np.concatenate(c) for c in columns)
         order = np.lexsort((rid, key))
-        key, rid = key[order], rid[order]
+        key, mark, rid = key[order], mark[order], rid[order]
         start = np.concatenate([[True], key[1:] != key[:-1]])
         size = np.diff(np.append(np.flatnonzero(start), len(key)))
         left = np.repeat(size, size) - (np.arange(len(key)) - np.repeat(np.flatnonzero(start), size)) - 1  # records behind this one at its anchor
         at, step = np.flatnonzero(left >= 1), 1
+        held, n = [], 0
         while len(at):
-            a, b = rid[at], rid[at + step]
-            keep = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
+            a, b, m = rid[at], rid[at + step], mark[at]
+            keep = (a != b) & ((m != mark[at + step]) | (m == 0))
+            held.append((a[keep], b[keep]))
+            n += len(held[-1][0])
             step += 1
             at = at[left[at] >= step]
+            if n > 2_000_000 or not len(at):
+                a, b = (np.concatenate(x) for x in zip(*held))
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[:len(a)]
+                yield pa.RecordBatch.from_arrays([pa.array(a[new], pa.int64()), pa.array(b[new], pa.int64())], ["a", "b"])
+                held, n = [], 0
 
     now, parts = None, []
     for batch in batches:
@@ -316,15 +364,15 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
         df.select(F.col(id_col).cast("long").alias("id"), F.upper(F.col(text_col)).alias("seq"))
         .where(F.col("id").isNotNull() & (F.length("seq") >= shortest))
     )
-    hot = hot_windows(reads.select("seq"))
+    bits, hot = hot_windows(reads.select("seq"))
 
     keys = reads.select("id", F.xxhash64("seq").alias("h1"), F.hash("seq").alias("h2"))
     groups = keys.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keys.join(groups, ["h1", "h2"]).select("rep", "id")
+    members = join_groups(keys, groups, ["h1", "h2"], "n").select("rep", "id")
 
     by_id = reads.repartition(n_parts, "id")
     reps = by_id.join(members.where("id <> rep").select("id"), "id", "left_anti")
-    entries = reps.mapInArrow(_anchors(8 * n_parts, max(least - (PROBE - window), 1), hot, sketch), "bucket int, entries binary")
+    entries = reps.mapInArrow(_anchors(8 * n_parts, max(least - (PROBE - window), 1), bits, hot, sketch), "bucket int, entries binary")
     met = entries.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long").distinct()
     texts_a, texts_b = (by_id.select(F.col("id").alias(k), F.col("seq").alias(f"seq_{k}")) for k in "ab")
     pairs = met.join(texts_a, "a").join(texts_b, "b").select("a", "b", "seq_a", "seq_b").mapInArrow(_verify(window, threshold, least), "a long, b long, similarity double").dropDuplicates(["a", "b"])

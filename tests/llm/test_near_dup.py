@@ -98,3 +98,33 @@ def test_code_points_that_are_equal_mod_127(spark, clash):
     rows = [(1, text), (2, text.replace("\u0102", "\u0181"))]
     assert (0x102 - 0x181) % 127 == 0
     assert brute(rows) == set() and found(spark, rows, clash) == []
+
+
+def _met(spark, texts, n_parts=4):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, seq string")
+    bits, hot = N.hot_windows(rows.select("seq"))
+    entries = rows.mapInArrow(N._anchors(8 * n_parts, 22, bits, hot, N.SKETCH), "bucket int, entries binary")
+    return bits, hot, entries.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(N._meet, "a long, b long")
+
+
+def test_a_dense_family_meets_a_few_times_a_pair(spark):
+    """A third of the records are edits of one text, with some 20 anchors in common: a pair meets at those behind a difference only."""
+    rng = random.Random(23)
+    base = "".join(rng.choices("ACGT", k=150))
+    family = set()
+    while len(family) < 400:
+        x = list(base)
+        for _ in range(rng.randint(1, 3)):
+            x[rng.randrange(150)] = rng.choice("ACGT")
+        family.add("".join(x))
+    texts = sorted(family) + ["".join(rng.choices("ACGT", k=150)) for _ in range(800)]
+    true = len(brute(list(enumerate(texts))))
+    _, _, met = _met(spark, texts)
+    assert true > 50_000 and met.count() < 7 * true and met.distinct().count() >= true
+
+
+def test_unrelated_long_texts_are_not_hot(spark):
+    rng = random.Random(29)
+    texts = ["".join(rng.choices("ACGT", k=3000)) for _ in range(3000)]
+    bits, hot, _ = _met(spark, texts)
+    assert bits == 25 and sum(map(len, hot.values())) < 100
