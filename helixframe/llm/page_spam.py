@@ -271,7 +271,7 @@ def spam_profile(docs: DataFrame, id_col: str, text_col: str, host_col: str) ->
     by_host = pages.select("host", F.explode("phrases").alias("phrase")).groupBy("phrase", "host").agg(F.count(F.lit(1)).alias("n"))
     replicated = by_host.groupBy("phrase").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= HOSTS)
     dense = pages.where(F.col("list_share") > SHARE).select("row", F.explode("phrases").alias("phrase"))
-    found = join_groups(dense, stored(replicated.select("phrase", "n"), "phrases"), ["phrase"], "n").groupBy("row").agg(F.count(F.lit(1)).alias("found"))
+    found = join_groups(dense, replicated.select("phrase", "n"), ["phrase"], "n").groupBy("row").agg(F.count(F.lit(1)).alias("found"))
     joined = pages.select("row", "doc", "list_share", F.size("phrases").alias("all")).join(found, "row", "left")
     share = F.coalesce(F.col("found") / F.greatest("all", F.lit(1)), F.lit(0.0))
     return joined.select("doc", "list_share", share.alias("replicated_share"), ((F.col("list_share") > SHARE) & (share >= REPLICATED)).alias("is_spam"))
