@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from helixframe.functions.counting import order_key
+from helixframe.operators.skew import join_groups
 from helixframe.session import ensure_checkpoint_dir
 
 
@@ -50,8 +51,22 @@ def duplicated(df: DataFrame, id_col: str, seq_col: str) -> DataFrame:
     An aggregation and a join, not a window over each group: a group may hold a third of all rows.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("s"))
-    first = rows.groupBy("s").agg(F.min("id").alias("first"))
-    return rows.join(first, "s").select(F.col("id").alias(id_col), (F.col("id") != F.col("first")).alias("duplicated"))
+    first = rows.where("s is not null").groupBy("s").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    return join_groups(rows, first, ["s"], "n").select(F.col("id").alias(id_col), (F.col("id") != F.col("first")).alias("duplicated"))
+
+
+def is_unsorted(df: DataFrame, id_col: str, seq_col: str) -> DataFrame:
+    """``(is_unsorted)``: one row; whether some sequence is smaller than the one with the id before it.
+
+    The rows are range-partitioned by id; each partition looks at its own neighbours and sends its first and last key.
+    """
+    keyed = df.select(F.col(id_col).alias("id"), order_key(seq_col).alias("key")).where("id is not null and key is not null")
+    parts = _cut(keyed.repartitionByRange("id").withColumn("part", F.spark_partition_id()))
+    w = Window.partitionBy("part").orderBy("id")
+    local = parts.withColumn("bad", F.coalesce(F.col("key") < F.lag("key").over(w), F.lit(False)))
+    ends = local.groupBy("part").agg(F.bool_or("bad").alias("bad"), F.min_by("key", "id").alias("first"), F.max_by("key", "id").alias("last"))
+    seams = ends.withColumn("bad", F.col("bad") | F.coalesce(F.col("first") < F.lag("last").over(Window.orderBy("part")), F.lit(False)))  # one row for a partition
+    return seams.agg(F.coalesce(F.bool_or("bad"), F.lit(False)).alias("is_unsorted"))
 
 
 def unique(df: DataFrame, id_col: str, seq_col: str) -> DataFrame:

@@ -67,6 +67,17 @@ def masked_width(mask: DataFrame, key: str) -> DataFrame:
     return mask.groupBy(key).agg(F.sum(F.col("end") - F.col("start") + 1).alias("masked"))
 
 
+def masked_ratio(mask: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
+    """``(key, ratio)``: the masked share of every sequence; null for empty ones."""
+    found = lengths.select(key, "length").join(masked_width(mask, key), key, "left")
+    return found.select(key, (F.coalesce("masked", F.lit(0)) / F.when(F.col("length") > 0, F.col("length"))).alias("ratio"))
+
+
+def invert_mask(mask: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
+    """``(key, start, end)``: what was unmasked is masked, and the other way round."""
+    return gaps(mask, lengths, key)
+
+
 def mask_motif(hits: DataFrame, min_block: int = 1) -> DataFrame:
     """``(subject_id, start, end)``: the united hits of a motif, blocks of at least ``min_block`` letters."""
     return merge_ranges(hits, "subject_id").where(F.col("end") - F.col("start") + 1 >= min_block)

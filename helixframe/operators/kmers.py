@@ -36,7 +36,7 @@ def kmers(df: DataFrame, id_col: str, seq_col: str, k: int, step: int = 1, bases
     return src.mapInArrow(run, f"id {id_type}, kmer string").withColumnRenamed("id", id_col)
 
 
-def _counts(k: int, step: int, by_row: bool):
+def _counts(k: int, step: int, by_row: bool, zeros: bool = False):
     """k-mer counts of each batch, by row or over the whole task (up to k = 10 in one array that is sent once)."""
     def run(batches):
         whole = np.zeros(4 ** k, np.int64) if k <= 10 and not by_row else None
@@ -49,7 +49,15 @@ def _counts(k: int, step: int, by_row: bool):
                 if whole is not None:
                     whole += np.bincount(code, minlength=4 ** k)
                     continue
-                if by_row:
+                if zeros:  # a table of all words for some rows at a time
+                    every, few = 4 ** k, max((1 << 20) // 4 ** k, 1)
+                    for a in range(0, len(offsets) - 1, few):
+                        z = min(a + few, len(offsets) - 1)
+                        on = (rows >= a) & (rows < z)
+                        n = np.bincount((rows[on] - a) * every + code[on], minlength=(z - a) * every)
+                        ids = b.column(0).take(pa.array(np.repeat(np.arange(a, z) + first, every)))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(every), z - a)), pa.array(n)], ["id", "code", "n"])
+                elif by_row:
                     order = np.lexsort((code, rows))
                     rows, code = rows[order], code[order]
                     new = np.ones(len(code), bool)
@@ -81,20 +89,18 @@ def oligo_frequency(df: DataFrame, id_col: str, seq_col: str, k: int, step: int
     if not 1 <= k <= 15 or step < 1:
         raise ValueError("k must be 1 to 15, step at least 1")
     id_type = df.schema[id_col].dataType.simpleString()
-    counts = df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("s")).mapInArrow(_counts(k, step, True), f"id {id_type}, code long, n long")
-    if not zeros:
-        return counts.select(F.col("id").alias(id_col), _word(k).alias("kmer"), "n")
-    cells = df.select(F.col(id_col).alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4 ** k - 1).cast("long"))).alias("code"))
-    full = cells.join(counts, ["id", "code"], "left")
-    return full.select(F.col("id").alias(id_col), _word(k).alias("kmer"), F.coalesce("n", F.lit(0)).alias("n"))
+    counts = df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("s")).mapInArrow(_counts(k, step, True, zeros), f"id {id_type}, code long, n long")
+    return counts.select(F.col("id").alias(id_col), _word(k).alias("kmer"), "n")
 
 
-def oligo_frequency_collapsed(df: DataFrame, id_col: str, seq_col: str, k: int, step: int = 1, zeros: bool = True) -> DataFrame:
-    """``(kmer, n)`` over all sequences; each task sends one row for a k-mer."""
+def oligo_frequency_collapsed(df: DataFrame, id_col: str, seq_col: str, k: int, step: int = 1, zeros: bool = True, as_prob: bool = False) -> DataFrame:
+    """``(kmer, n)`` over all sequences; each task sends one row for a k-mer.  With ``as_prob`` ``n`` is the share of all k-mers."""
     if not 1 <= k <= 15 or step < 1:
         raise ValueError("k must be 1 to 15, step at least 1")
     counts = df.select(F.col(seq_col).alias("s")).mapInArrow(_counts(k, step, False), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counts = counts.select(_word(k).alias("kmer"), "n")
+    if as_prob:
+        counts = counts.join(F.broadcast(counts.agg(F.sum("n").alias("all"))), how="inner", on=F.lit(True)).select("kmer", (F.col("n") / F.col("all")).alias("n"))  # one row
     if not zeros:
         return counts
     words = all_words(df.sparkSession, DNA_BASES, k).select(F.col("word").alias("kmer"))
@@ -120,15 +126,19 @@ def nucleotide_frequency_at(df: DataFrame, seq_col: str, at: list[int], bases: s
     return picked.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
 
 
-def consensus_matrix(df: DataFrame, seq_col: str, shift_col: str | None = None, width: int | None = None, alphabet: str = DNA_ALPHABET) -> DataFrame:
+def consensus_matrix(df: DataFrame, seq_col: str, shift_col: str | None = None, width: int | None = None, alphabet: str = DNA_ALPHABET, base_only: bool = False, as_prob: bool = False) -> DataFrame:
     """``(pos, letter, n)``: letters by column of the stacked sequences, each shifted to the right.
 
     Columns from 1 to ``width`` (the end of the longest without it).  Counts are combined before the shuffle.
+    With ``base_only`` all letters but the bases count as ``other``; with ``as_prob`` ``n`` is the share of its column.
     """
     shift = F.coalesce(F.col(shift_col), F.lit(0)) if shift_col else F.lit(0)
     src = df.where(F.col(seq_col).isNotNull()).select(shift.cast("long").alias("shift"), F.col(seq_col).alias("s"))
     cells = src.mapInArrow(_letter_cells(width), "pos long, code int, n long").groupBy("pos", "code").agg(F.sum("n").alias("n"))
-    return cells.select(F.col("pos").cast("int").alias("pos"), F.char("code").alias("letter"), "n").where(F.col("letter").isin(*alphabet))
+    matrix = cells.select(F.col("pos").cast("int").alias("pos"), F.char("code").alias("letter"), "n").where(F.col("letter").isin(*alphabet))
+    if base_only:
+        matrix = matrix.groupBy("pos", F.when(F.col("letter").isin(*DNA_BASES), F.col("letter")).otherwise("other").alias("letter")).agg(F.sum("n").alias("n"))
+    return matrix.withColumn("n", F.col("n") / F.sum("n").over(Window.partitionBy("pos"))) if as_prob else matrix
 
 
 def _letter_cells(width: int | None):

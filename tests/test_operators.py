@@ -259,3 +259,21 @@ def test_independence():
     assert abs(value - 20 / 3) < 1e-9 and df == 1 and abs(p - 0.009823275) < 1e-7
     assert independence_test(np.zeros((4, 4))) == (0.0, 0, 1.0)
     assert 0 < independence_test(np.array([[5, 9], [8, 4]]), "adjG", simulate=200)[2] <= 1
+
+
+def test_shares_and_other_letters(spark):
+    x = seqs(spark, ["ACGN", "AC", "A-G", None, ""])
+    got = {(r["pos"], r["letter"]): round(r["n"], 6) for r in K.consensus_matrix(x, "s", base_only=True, as_prob=True).collect()}
+    assert got == {(1, "A"): 1.0, (2, "C"): round(2 / 3, 6), (2, "other"): round(1 / 3, 6), (3, "G"): 1.0, (4, "other"): 1.0}
+    assert {r["kmer"]: round(r["n"], 6) for r in K.oligo_frequency_collapsed(x, "seq_id", "s", 2, zeros=False, as_prob=True).collect()} == {"AC": round(2 / 3, 6), "CG": round(1 / 3, 6)}
+    assert K.oligo_frequency(x, "seq_id", "s", 2, zeros=True).count() == 5 * 16
+
+
+def test_unsorted_and_mask_shares(spark):
+    a = spark.createDataFrame([(i, "ACGT"[i // 300] * 3) for i in range(1000)], "id long, s string")
+    assert rows(C.is_unsorted(a, "id", "s")) == [(False,)] and rows(C.is_unsorted(a.where("false"), "id", "s")) == [(False,)]
+    assert rows(C.is_unsorted(a.unionByName(spark.createDataFrame([(2000, "AAA")], "id long, s string")), "id", "s")) == [(True,)]
+    n = spark.createDataFrame([(1, 10), (2, 4), (3, 0)], "k int, length int")
+    mask = spark.createDataFrame([(1, 2, 4), (1, 9, 10)], "k int, start int, end int")
+    assert rows(I.masked_ratio(mask, n, "k")) == [(1, 0.5), (2, 0.0), (3, None)]
+    assert rows(I.invert_mask(mask, n, "k")) == [(1, 1, 1), (1, 5, 8), (2, 1, 4)]
