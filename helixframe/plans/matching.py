@@ -132,11 +132,11 @@ def m21s(spark, d):
  n as (select width, count(*) as n from r group by width), x as (select width, pos, b.base, (select 1) from (select width, unnest(range(1, width + 1)) as pos from n), (select unnest(['A', 'C', 'G', 'T']) as base) b),
  k as (select x.width, x.pos, x.base, count(c.base) as k from x left join c on c.width = x.width and c.pos = x.pos and c.base = x.base group by all), w as (select width, pos, base, ln((k + 0.25) / (n + 1) / 0.25) / ln(2) as w from k join n using (width)),
  e as (select width, sum(lo) as lo, sum(hi) as hi from (select width, pos, min(w) as lo, max(w) as hi from w group by all) group by width)
- select width::int as width, pos::int as pos, base, round((w - lo / width) / (hi - lo), 9) as weight from w join e using (width)""", READS))
+ select width::int as width, pos::int as pos, base, case when abs((w - lo / width) / (hi - lo)) < 1e-8 then 0.0::double else round((w - lo / width) / (hi - lo), 7) end as weight from w join e using (width)""", READS))
 def m20(spark, d):
     """The weight matrices of all reads without other letters than bases, one for each width."""
     r = reads(spark, d).where("s <> '' and translate(s, 'ACGT', '') = ''")
-    return K.weight_matrices(r, "s").withColumn("weight", F.round("weight", 9))
+    return K.weight_matrices(r, "s").withColumn("weight", F.when(F.abs("weight") < 1e-8, 0.0).otherwise(F.round("weight", 7)))  # no negative zero
 
 
 # ---- dictionaries -----------------------------------------------------------
